@@ -153,7 +153,9 @@ def split_rows(spark: SparkSession, rows: DataFrame, row_id: str, proportions=PR
     split = F.lit(None).cast("string")
     for k, name in enumerate(names[1:]):
         take = F.col("take")[k]
-        upto, before = F.floor(F.col("i") * take / F.greatest(F.col("m"), F.lit(1))), F.floor((F.col("i") - 1) * take / F.greatest(F.col("m"), F.lit(1)))
+        start = F.pmod(F.xxhash64("size", F.lit(k)), F.lit(1000)) / 1000.0  # else the last of few equal groups would always be the one taken
+        m = F.greatest(F.col("m"), F.lit(1))
+        upto, before = F.floor(F.col("i") * take / m + start), F.floor((F.col("i") - 1) * take / m + start)
         hit = (upto > before) & F.col("split").isNull() if k else (upto > before)
         chosen = chosen.withColumn("split", F.when(hit, F.lit(name)).otherwise(F.col("split") if k else split))
         # later splits number the groups that are still free
