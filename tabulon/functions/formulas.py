@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The symbols of the elements.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr "
+    "Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+
 #: Counts beyond this many digits are no formula.
 DIGITS = 4
 
@@ -26,7 +33,7 @@ def composition(formula: Column) -> Column:
     pairs = F.arrays_zip(names.alias("e"), numbers.alias("n"))
     totals = F.transform(
         F.array_sort(F.array_distinct(names)),
-        lambda e: F.struct(e.alias("e"), F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["0"] == e, p["1"]).otherwise(F.lit(0))).alias("n")),
+        lambda e: F.struct(e.alias("e"), F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["e"] == e, p["n"]).otherwise(F.lit(0))).alias("n")),
     )
     counts = F.transform(totals, lambda t: t["n"])
     divisor = F.array_max(F.filter(F.sequence(F.lit(1), F.array_min(counts)), lambda d: F.forall(counts, lambda c: c % d == 0)))
@@ -47,3 +54,27 @@ def chemical_system(written: Column) -> Column:
     several = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= 2, F.array(cased(p))).otherwise(F.transform(camel(p), lambda x: F.initcap(x)))))
     symbols = F.when(F.size(parts) == 1, alone(parts[0])).otherwise(several)
     return F.nullif(F.array_join(F.array_sort(F.array_distinct(symbols)), "-"), F.lit(""))
+
+
+def formula_in_name(name: Column) -> Column:
+    """The first part of a name, cut at signs, that is a formula of two or more symbols; null if none is."""
+    symbols = "|".join(sorted(ELEMENTS, key=lambda e: (-len(e), e)))
+    parts = F.split(plain_digits(name), r"[^A-Za-z0-9]+")
+    return F.try_element_at(F.filter(parts, lambda p: p.rlike(rf"^(?:(?:{symbols})\d*){{2,}}$")), F.lit(1))
+
+
+def group_number_in_name(name: Column) -> Column:
+    """The space group number written after ``sg`` in a name; null if none is."""
+    return F.regexp_extract(name, r"(?i)sg[-_ ]?(\d{1,3})", 1).try_cast("int")
+
+
+def running_number_in_name(name: Column) -> Column:
+    """The longest number that stands alone in a name (also after ``n``, ``no`` or ``#``), without leading zeros; null if none.
+
+    Numbers of space groups, and the digits of screw axes such as P6_3, are none.
+    """
+    bare = F.regexp_replace(F.regexp_replace(plain_digits(name), r"(?i)sg[-_ ]?\d+", "~"), r"(?<![A-Za-z0-9])[PIFCRA]\d_\d(?!\d)", "~")
+    numbers = F.regexp_extract_all(bare, F.lit(r"(?:^|[^A-Za-z0-9])(?:no|n)?(\d+)(?![A-Za-z0-9])"), 1)
+    longest = F.array_max(F.transform(numbers, lambda n: F.length(n)))
+    first = F.try_element_at(F.filter(numbers, lambda n: F.length(n) == longest), F.lit(1))
+    return F.regexp_replace(first, r"^0+(?=\d)", "")
