@@ -28,18 +28,28 @@ def composition(formula: Column) -> Column:
     wholly symbols and counts (of at most DIGITS digits, not 0).
     """
     text = F.regexp_replace(plain_digits(formula), r"[\s ]+", "")
-    names = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]?)(\d*)"), 1)
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]?)(\d*)"), 2), lambda n: F.when(n == "", F.lit(1)).otherwise(n.cast("int")))
-    pairs = F.arrays_zip(names.alias("e"), numbers.alias("n"))
-    totals = F.transform(
-        F.array_sort(F.array_distinct(names)),
-        lambda e: F.struct(e.alias("e"), F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["e"] == e, p["n"]).otherwise(F.lit(0))).alias("n")),
-    )
-    counts = F.transform(totals, lambda t: t["n"])
-    divisor = F.array_max(F.filter(F.sequence(F.lit(1), F.array_min(counts)), lambda d: F.forall(counts, lambda c: c % d == 0)))
-    key = F.array_join(F.transform(totals, lambda t: F.concat(t["e"], (t["n"] / divisor).cast("int").cast("string"))), "-")
     good = text.rlike(rf"^([A-Z][a-z]?\d{{0,{DIGITS}}})+$") & ~text.rlike(r"[A-Za-z]0")
-    return F.when(good, key)
+
+    def pairs(t: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(t, F.lit(r"([A-Z][a-z]?)(\d*)"), 2), lambda n: F.when(n == "", F.lit(1)).otherwise(n.try_cast("int")))
+        return F.arrays_zip(F.regexp_extract_all(t, F.lit(r"([A-Z][a-z]?)(\d*)"), 1).alias("e"), numbers.alias("n"))
+
+    def totals(zipped: Column) -> Column:
+        elements = F.array_sort(F.array_distinct(F.transform(zipped, lambda p: p["e"])))
+        add = lambda e: F.aggregate(zipped, F.lit(0), lambda acc, p: acc + F.when(p["e"] == e, p["n"]).otherwise(F.lit(0)))
+        return F.transform(elements, lambda e: F.struct(e.alias("e"), add(e).alias("n")))
+
+    def reduced(whole: Column) -> Column:
+        least = F.array_min(F.transform(whole, lambda t: t["n"]))
+        divisor = F.array_max(F.filter(F.sequence(F.lit(1), least), lambda d: F.forall(whole, lambda t: t["n"] % d == 0)))
+        return let(divisor, lambda d: F.array_join(F.transform(whole, lambda t: F.concat(t["e"], (t["n"] / d).cast("int").cast("string"))), "-"))
+
+    return F.when(good, let(let(let(text, pairs), totals), reduced))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, as a lambda's variable."""
+    return F.transform(F.array(value), body)[0]
 
 
 def chemical_system(written: Column) -> Column:
@@ -47,13 +57,13 @@ def chemical_system(written: Column) -> Column:
 
     Separated parts are symbols in any case (``ge/rb/te``); unseparated text is read by its capitals (``GeRbTe``).
     """
-    parts = F.filter(F.split(F.regexp_replace(written, r"[0-9₀-₉]+", " "), r"[^A-Za-z]+"), lambda p: p != "")
     cased = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1)))
-    camel = lambda p: F.regexp_extract_all(p, F.lit(r"([A-Z][a-z]?|[a-z]+)"), 1)
-    alone = lambda p: F.when(p.rlike("^[a-z]{1,2}$"), F.array(cased(p))).otherwise(F.transform(camel(p), lambda x: F.initcap(x)))
-    several = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= 2, F.array(cased(p))).otherwise(F.transform(camel(p), lambda x: F.initcap(x)))))
-    symbols = F.when(F.size(parts) == 1, alone(parts[0])).otherwise(several)
-    return F.nullif(F.array_join(F.array_sort(F.array_distinct(symbols)), "-"), F.lit(""))
+    camel = lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"([A-Z][a-z]?|[a-z]+)"), 1), lambda x: F.initcap(x))
+    alone = lambda p: F.when(p.rlike("^[a-z]{1,2}$"), F.array(cased(p))).otherwise(camel(p))
+    several = lambda parts: F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= 2, F.array(cased(p))).otherwise(camel(p))))
+    symbols = lambda parts: F.when(F.size(parts) == 1, alone(parts[0])).otherwise(several(parts))
+    parts = F.filter(F.split(F.regexp_replace(written, r"[0-9₀-₉]+", " "), r"[^A-Za-z]+"), lambda p: p != "")
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(let(parts, symbols))), "-"), F.lit(""))
 
 
 def formula_in_name(name: Column) -> Column:
