@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import components, linkage, overlap, splits, survivors
+from tabulon.llm import components, linkage, mixing, overlap, packing, pii, splits, survivors
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -16,6 +16,12 @@ QUERIES = {
     "p5_links": linkage.p5_links,
     "p6_found": components.p6_found,
     "p6_group_sizes": components.p6_group_sizes,
+    "p7_packed": packing.p7_packed,
+    "p7_space_report": packing.p7_space_report,
+    "p8_mix": mixing.p8_mix,
+    "p8_share_report": mixing.p8_share_report,
+    "p9_found": pii.p9_found,
+    "p9_redacted": pii.p9_redacted,
 }
 
 ORACLE: dict[str, str] = {}
