@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tabulon.plans import orphan_queries, quality_queries
+import importlib
+import pkgutil
+
+import tabulon.plans
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (quality_queries, orphan_queries):
-    QUERIES.update(_module.QUERIES)
-    ORACLE.update(_module.ORACLE)
+for _info in sorted(pkgutil.iter_modules(tabulon.plans.__path__), key=lambda m: m.name):
+    if _info.name.endswith("_queries"):
+        _module = importlib.import_module(f"tabulon.plans.{_info.name}")
+        QUERIES.update(_module.QUERIES)
+        ORACLE.update(_module.ORACLE)
