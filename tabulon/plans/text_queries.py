@@ -112,7 +112,7 @@ def label_exchange_events(spark, d):
 
 
 def adjacent_pairs(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     return series.adjacent_pairs(li, ["l_orderkey"], "l_linenumber", "l_quantity")
 
 
@@ -186,7 +186,7 @@ SELECT catalog_row_id, nullif(a, '') AS formula, TRY_CAST(b AS INTEGER) AS space
 WITH x AS (SELECT catalog_row_id, regexp_replace(translate(reduced_formula, '₀₁₂₃₄₅₆₇₈₉', '0123456789'), '\s+', '', 'g') AS f, regexp_replace(target_formula, '\s+', '', 'g') AS t FROM structure_catalog),
 e AS (SELECT catalog_row_id, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\d*)', 1)) AS e, unnest(regexp_extract_all(f, '([A-Z][a-z]?)(\d*)', 2)) AS n FROM x WHERE regexp_full_match(f, '([A-Z][a-z]?\d{0,4})+')),
 s AS (SELECT catalog_row_id, e, sum(CASE WHEN n = '' THEN 1 ELSE CAST(n AS INTEGER) END)::INTEGER AS n FROM e GROUP BY 1, 2),
-g AS (SELECT catalog_row_id, list_reduce(list(n), (a, b) -> gcd(a, b)::INTEGER) AS g FROM s GROUP BY 1),
+g AS (SELECT catalog_row_id, list_reduce(list(n), lambda a, b: gcd(a, b)::INTEGER) AS g FROM s GROUP BY 1),
 c AS (SELECT s.catalog_row_id, string_agg(e || (n // g), '-' ORDER BY e) AS composition FROM s JOIN g USING (catalog_row_id) GROUP BY 1),
 a AS (SELECT catalog_row_id, unnest(regexp_extract_all(t, '([A-Z][a-z]?)(\d*)', 1)) AS e, unnest(regexp_extract_all(t, '([A-Z][a-z]?)(\d*)', 2)) AS n, unnest(range(len(regexp_extract_all(t, '([A-Z][a-z]?)(\d*)', 1)))) AS i FROM x),
 b AS (SELECT catalog_row_id, sum(CASE WHEN n = '' THEN 1 ELSE CAST(n AS INTEGER) END)::INTEGER AS atoms, string_agg(repeat(e, CASE WHEN n = '' THEN 1 ELSE CAST(n AS INTEGER) END), '' ORDER BY i) AS expanded FROM a GROUP BY 1)
@@ -228,7 +228,7 @@ w AS (SELECT *, lag(lo) OVER w AS pl, lead(lo) OVER w AS nl, lag(hi) OVER w AS p
 SELECT event_id, user_id FROM w WHERE pl = nh AND ph = nl AND pl <> ph""",
     "adjacent_pairs": """
 SELECT l_orderkey, l_linenumber, l_quantity, nv AS next_value, abs(nv - l_quantity) AS gap FROM (SELECT l_orderkey, l_linenumber, l_quantity, lead(l_linenumber) OVER w AS ni, lead(l_quantity) OVER w AS nv
-  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE ni = l_linenumber + 1""",
+  FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) WHERE ni = l_linenumber + 1""",
     "interval_join_first": """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY THEN 'early' WHEN l_shipdate BETWEEN o_orderdate + INTERVAL 30 DAY AND o_orderdate + INTERVAL 60 DAY THEN 'middle'
   WHEN l_shipdate BETWEEN o_orderdate + INTERVAL 60 DAY AND o_orderdate + INTERVAL 400 DAY THEN 'late' END AS span FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
