@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabulon.llm import components, linkage, mixing, overlap, packing, pii, splits, survivors
+from tabulon.llm.sql import ORACLE
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -24,4 +25,4 @@ QUERIES = {
     "p9_redacted": pii.p9_redacted,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
