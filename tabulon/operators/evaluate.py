@@ -14,7 +14,7 @@ def wilson(success: Column, total: Column, z: float = 1.96) -> tuple[Column, Col
     p = success / n
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
-    return F.round(F.greatest(F.lit(0.0), middle - spread), 6), F.round(F.least(F.lit(1.0), middle + spread), 6)
+    return F.when(n.isNotNull(), F.round(F.greatest(F.lit(0.0), middle - spread), 6)), F.when(n.isNotNull(), F.round(F.least(F.lit(1.0), middle + spread), 6))
 
 
 def arm_metrics(df: DataFrame, arm: str, measures: dict[str, tuple[Column, Column]]) -> DataFrame:

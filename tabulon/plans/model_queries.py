@@ -179,8 +179,8 @@ l AS (SELECT selected_stage, 'valid' AS metric, v AS success, n AS denominator F
   UNION ALL SELECT selected_stage, 'unique', u, un FROM w UNION ALL SELECT selected_stage, 'converged', r, rn FROM w),
 p AS (SELECT *, success / nullif(denominator, 0) AS p, nullif(denominator, 0)::DOUBLE AS m FROM l),
 a AS (SELECT selected_stage, metric, success, denominator, round(p, 6) AS rate,
-  round(greatest(0, (p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) - 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m)), 6) AS ci_low,
-  round(least(1, (p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) + 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m)), 6) AS ci_high FROM p)
+  CASE WHEN m IS NOT NULL THEN round(greatest(0, (p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) - 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m)), 6) END AS ci_low,
+  CASE WHEN m IS NOT NULL THEN round(least(1, (p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) + 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m)), 6) END AS ci_high FROM p)
 """
 _RANK = """
 WITH k AS (SELECT oof_probability AS s, label AS y FROM particle_dp_oof_predictions WHERE oof_probability IS NOT NULL AND NOT isnan(oof_probability) AND label IN (0, 1) {extra}),
