@@ -93,3 +93,57 @@ def cosine_schedule(spark: SparkSession, steps: int, s: float = 0.008) -> DataFr
     rows = spark.range(1, steps + 1).select(F.col("id").alias("t")).withColumn("beta", beta)
     order = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
     return rows.withColumn("alpha_bar", F.exp(F.sum(F.ln(1 - F.col("beta"))).over(order)))
+
+
+def matrix_parameters(m: Column) -> list[Column]:
+    """Lengths and angles (degrees) of the rows of a matrix."""
+    dot = lambda i, j: sum((m[i][k] * m[j][k] for k in range(3)), F.lit(0.0))
+    length = [F.sqrt(dot(i, i)) for i in range(3)]
+    angle = lambda i, j: F.degrees(F.acos(F.least(F.greatest(dot(i, j) / (length[i] * length[j]), F.lit(-1.0)), F.lit(1.0))))
+    return [*length, angle(1, 2), angle(0, 2), angle(0, 1)]
+
+
+def fractional(x: Column, m: Column) -> Column:
+    """Cartesian to fractional coordinates by the cofactors of the matrix; null for a flat cell."""
+    c = [[m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3] for j in range(3)] for i in range(3)]
+    det = sum((m[0][j] * c[0][j] for j in range(3)), F.lit(0.0))
+    return F.array(*[sum((x[k] * c[i][k] for k in range(3)), F.lit(0.0)) / F.nullif(det, F.lit(0.0)) for i in range(3)])
+
+
+def crystal_system(group: Column) -> Column:
+    """Fixed ranges of space group numbers; null outside 1..230."""
+    case = F.when((group < 1) | (group > 230), None)
+    for last, name in ((2, "triclinic"), (15, "monoclinic"), (74, "orthorhombic"), (142, "tetragonal"), (167, "trigonal"), (194, "hexagonal"), (230, "cubic")):
+        case = case.when(group <= last, name)
+    return case
+
+
+def wrapped_normal(x: Column, sigma: Column, terms: int = 10) -> Column:
+    """Density, up to a factor, of a normal wrapped onto [0, 1)."""
+    return F.aggregate(F.sequence(F.lit(-terms), F.lit(terms)), F.lit(0.0), lambda acc, k: acc + F.exp(-((x + k) ** 2) / (2 * sigma**2)))
+
+
+def wrapped_score(x: Column, sigma: Column, terms: int = 10) -> Column:
+    """Derivative of the log-density of wrapped_normal."""
+    top = F.aggregate(F.sequence(F.lit(-terms), F.lit(terms)), F.lit(0.0), lambda acc, k: acc - (x + k) / sigma**2 * F.exp(-((x + k) ** 2) / (2 * sigma**2)))
+    return top / wrapped_normal(x, sigma, terms)
+
+
+def geometric_schedule(spark: SparkSession, steps: int, low: float, high: float) -> DataFrame:
+    """(t, sigma) with sigma from low to high in equal ratios."""
+    return spark.range(1, steps + 1).select(F.col("id").alias("t"), (low * F.pow(F.lit(high / low), (F.col("id") - 1) / F.lit(float(max(1, steps - 1))))).alias("sigma"))
+
+
+def sinusoidal(x: Column, frequencies: int) -> Column:
+    """Sines, then cosines, of 2 pi k x for k = 0 .. frequencies - 1."""
+    k = F.sequence(F.lit(0), F.lit(frequencies - 1))
+    return F.concat(F.transform(k, lambda i: F.sin(2 * F.pi() * i * x)), F.transform(k, lambda i: F.cos(2 * F.pi() * i * x)))
+
+
+def one_hot(index: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == index, 1).otherwise(0))
+
+
+def argmax(values: Column) -> Column:
+    """Position from 0 of the first greatest value."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")

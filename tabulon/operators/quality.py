@@ -66,3 +66,29 @@ def _flagged(agg, flags: dict[str, Column], rates: bool, digits: int | None) ->
 
 def histogram(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.groupBy(value.alias(name)).agg(F.count(F.lit(1)).alias("records"))
+
+
+def stage_of(steps: Column, has_irreps: Column, soc: Column, charge_mode: Column, symmetry: Column) -> Column:
+    """Kind of a calculation from its settings; missing settings count as not set."""
+    soc = truthy(soc)
+    return (
+        F.when(F.coalesce(steps, F.lit(0)) > 0, "relax").when(truthy(has_irreps) | (soc & (F.coalesce(charge_mode, F.lit(0)) == 11)), "band_soc")
+        .when(soc, "static_soc").when(F.coalesce(symmetry, F.lit(0)) == 2, "one_step_symmetry").otherwise("static_nosoc")
+    )
+
+
+def generation_gate(volume_per_atom: Column, distance: Column, energy: Column, same_group: Column, same_elements: Column) -> Column:
+    """The first gate a generated structure fails, or how it goes on."""
+    return (
+        F.when(~is_finite(volume_per_atom) | (volume_per_atom < 1), "bad_volume").when(~is_finite(distance) | (distance < 0.4), "too_close")
+        .when(is_finite(energy) & (energy > 1000), "energy_too_high").when(~truthy(same_group) | ~not_false(same_elements), "not_as_asked")
+        .when(is_finite(energy) & (energy < -200), "accepted_unrefined").otherwise("accepted")
+    )
+
+
+def set_differences(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, missing, extra): values of a key only in left, or only in right; keys without any difference are left out."""
+    both = left.select(key, value).distinct().withColumn("__l", F.lit(1)).join(right.select(key, value).distinct().withColumn("__r", F.lit(1)), [key, value], "full")
+    odd = both.where(F.col("__l").isNull() | F.col("__r").isNull())
+    side = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c).isNotNull(), F.col(value)))), ";")
+    return odd.groupBy(key).agg(side("__l").alias("missing"), side("__r").alias("extra"))
