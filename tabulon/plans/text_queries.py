@@ -97,7 +97,7 @@ def section_carry_forward(spark, d):
 
 def degenerate_expand(spark, d):
     """Each line item repeated as often as its line number says, with running indices."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     return li.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.col("l_linenumber") - 1)).alias("step")).withColumn("band", F.col("l_linenumber") + F.col("step"))
 
 
