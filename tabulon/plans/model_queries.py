@@ -103,7 +103,7 @@ def systematic_resample(spark, d):
 
 def categorical_draw(spark, d):
     counts = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    draws = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_orderpriority", ((F.col("o_orderkey") * 7919 + 13) % 1000 / 1000.0).alias("u"))
+    draws = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", ((F.col("o_orderkey") * 7919 + 13) % 1000 / 1000.0).alias("u"))
     return sampling.draw_categories(draws, counts, ["o_orderpriority"], "o_orderstatus", "n", "u").select("o_orderkey", "o_orderstatus")
 
 

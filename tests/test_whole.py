@@ -17,3 +17,22 @@ def test_every_line_item_is_expanded(spark):
     out = catalogue.QUERIES["degenerate_expand"](spark, DATA)
     wanted = [(r.l_orderkey, r.l_linenumber, k, r.l_linenumber + k) for r in table(spark, DATA, "lineitem").select("l_orderkey", "l_linenumber").collect() for k in range(r.l_linenumber)]
     assert sorted(tuple(r) for r in out.select("l_orderkey", "l_linenumber", "step", "band").collect()) == sorted(wanted)
+
+
+@data
+def test_every_order_gets_a_draw(spark):
+    orders = [tuple(r) for r in table(spark, DATA, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").collect()]
+    counts = {}
+    for _, p, s in orders:
+        counts.setdefault(p, {}).setdefault(s, 0)
+        counts[p][s] += 1
+
+    def drawn(key, p):
+        u, below, total = (key * 7919 + 13) % 1000 / 1000.0, 0, sum(counts[p].values())
+        for s in sorted(counts[p]):
+            below += counts[p][s]
+            if below / total > u:
+                return s
+
+    out = catalogue.QUERIES["categorical_draw"](spark, DATA).collect()
+    assert sorted((r.o_orderkey, r.o_orderstatus) for r in out) == sorted((k, drawn(k, p)) for k, p, _ in orders)
