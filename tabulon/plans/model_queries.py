@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import formulas
 from tabulon.operators import dedup, evaluate, geometry, learn, sampling
+from tabulon.operators.orphans import reference_value
 from tabulon.session import table
 
 
@@ -148,9 +149,11 @@ def fractional_wrap(spark, d):
 
 
 def _features(spark, d):
-    cat = table(spark, d, "structure_catalog").select("candidate_id", "atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom").groupBy("candidate_id").agg(*[F.max(c).cast("double").alias(c) for c in ("atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom")])
+    """Every prediction with its candidate's measures, null where the catalogue doesn't know the candidate."""
+    measures = ("atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom")
+    cat = table(spark, d, "structure_catalog").groupBy(reference_value("candidate_id").alias("key")).agg(*[F.max(c).cast("double").alias(c) for c in measures]).where("key IS NOT NULL")
     rows = _oof(spark, d).select("oof_row_id", "candidate_id", "label", F.coalesce(formulas.chemical_system(F.col("chemical_system")), F.lit("none")).alias("grp"), F.col("actual_spacegroup").cast("double").alias("spacegroup"))
-    return rows.join(cat, "candidate_id")
+    return rows.withColumn("key", reference_value("candidate_id")).join(cat, "key", "left").drop("key")
 
 
 FEATURES = ["atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom", "spacegroup"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.operators import resolve, select
+from tabulon.operators.orphans import reference_value
 from tabulon.session import table
 
 
@@ -96,10 +97,10 @@ def first_seen_groups(spark, d):
 
 def _scored(spark, d):
     """Catalogue rows with predictions: per candidate the mean out-of-fold probability, with its spread as uncertainty."""
-    p = table(spark, d, "particle_dp_oof_predictions").where("candidate_id IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability)")
-    p = p.groupBy("candidate_id").agg(F.round(F.avg("oof_probability"), 6).alias("topology_probability"), F.round(F.max("oof_probability") - F.min("oof_probability"), 6).alias("uncertainty"))
+    p = table(spark, d, "particle_dp_oof_predictions").withColumn("key", reference_value("candidate_id")).where("key IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability)")
+    p = p.groupBy("key").agg(F.round(F.avg("oof_probability"), 6).alias("topology_probability"), F.round(F.max("oof_probability") - F.min("oof_probability"), 6).alias("uncertainty"))
     cat = table(spark, d, "structure_catalog").select("catalog_row_id", "candidate_id", "reduced_formula", "actual_spacegroup", "stoichiometry_valid", "condition_valid", "target_spacegroup_match", "is_unique")
-    return cat.join(p, "candidate_id", "left")
+    return cat.withColumn("key", reference_value("candidate_id")).join(p, "key", "left").drop("key")
 
 
 def funnel_topk(spark, d):

@@ -36,3 +36,28 @@ def test_every_order_gets_a_draw(spark):
 
     out = catalogue.QUERIES["categorical_draw"](spark, DATA).collect()
     assert sorted((r.o_orderkey, r.o_orderstatus) for r in out) == sorted((k, drawn(k, p)) for k, p, _ in orders)
+
+
+CANDIDATES = "candidate_id string, atom_count int, element_count int, volume_per_atom double, density_g_cm3 double, min_distance_angstrom double"
+PREDICTIONS = "oof_row_id long, candidate_id string, label int, chemical_system string, actual_spacegroup int, oof_probability double"
+
+
+def test_predictions_meet_candidates_however_written(spark, tmp_path):
+    from tabulon.plans import model_queries, resolve_queries
+
+    more = ", catalog_row_id long, reduced_formula string, actual_spacegroup int, stoichiometry_valid boolean, condition_valid boolean, target_spacegroup_match boolean, is_unique boolean"
+    rows = [("A__A_1", 4, 2, 9.0, 3.0, 2.0, 1, "A", 1, True, True, True, True), ("B__B_2", 6, 2, 9.0, 3.0, 2.0, 2, "B", 1, True, True, True, True)]
+    spark.createDataFrame(rows, CANDIDATES + more).write.parquet(str(tmp_path / "structure_catalog.parquet"))
+    asked = [(1, "A__A_1", 1, "A", 1, 0.8), (2, " A/A_1 ", 0, "A", 1, 0.6), (3, "B__B_2 ", 1, "B", 1, 0.9), (4, "gone", 1, "B", 1, 0.1), (5, None, 1, "B", 1, 0.1)]
+    spark.createDataFrame(asked, PREDICTIONS).write.parquet(str(tmp_path / "particle_dp_oof_predictions.parquet"))
+    got = {r.oof_row_id: r.atom_count for r in model_queries._features(spark, str(tmp_path)).collect()}
+    assert got == {1: 4.0, 2: 4.0, 3: 6.0, 4: None, 5: None}
+    scored = {r.candidate_id: (r.topology_probability, r.uncertainty) for r in resolve_queries._scored(spark, str(tmp_path)).collect()}
+    assert scored == {"A__A_1": (0.7, 0.2), "B__B_2": (0.9, 0.0)}
+
+
+@data
+def test_every_prediction_is_scored_or_has_an_error(spark):
+    out = catalogue.QUERIES["tree_uncertainty"](spark, DATA).collect()
+    assert sorted(r.oof_row_id for r in out) == sorted(r.oof_row_id for r in table(spark, DATA, "particle_dp_oof_predictions").select("oof_row_id").collect())
+    assert all((r.probability is None) == (r.error is not None) for r in out)
