@@ -152,17 +152,43 @@ def filled(columns: list[tuple[str, str]]) -> Column:
     return sum((one(c, k) for c, k in columns), F.lit(0))
 
 
-def surviving_records(spark: SparkSession, rows: DataFrame, group: str, row_id: str, trusted: Column, latest: str, fields: list[str], measured: list[tuple[str, str]]) -> DataFrame:
+def written(column: Column, kind: str) -> Column:
+    """A value as text that ``read`` turns back exactly; NaN is no value."""
+    if kind in ("double", "float"):
+        column = F.when(~F.isnan(column), column)
+    return (F.unix_micros(column) if kind == "timestamp" else column).cast("string")
+
+
+def read(column: Column, kind: str) -> Column:
+    return F.timestamp_micros(column.cast("bigint")) if kind == "timestamp" else column.cast(kind)
+
+
+def voted_values(members: DataFrame, others: list[tuple[str, str]]) -> DataFrame:
+    """(group_id, best): map of each column of ``others`` (in the struct ``others``) to its written value with most votes.
+
+    Trusted rows vote twice; of equals the latest, then the smallest. A column null or NaN in all rows is missing from the map.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), written(F.col("others")[c], k).alias("value")) for c, k in others]))
+    votes = members.select("group_id", "trusted", "latest", pairs.alias("p")).where("p.value IS NOT NULL").groupBy("group_id", F.col("p.field").alias("field"), F.col("p.value").alias("value"))
+    votes = votes.agg(F.sum(F.when(F.col("trusted"), 2.0).otherwise(1.0)).alias("weight"), F.max("latest").alias("latest"))
+    order = F.struct((-F.col("weight")).alias("w"), F.coalesce(-F.unix_micros("latest"), F.lit(1 << 62)).alias("l"), F.col("value").try_cast("double").alias("number"), "value")
+    best = votes.groupBy("group_id", "field").agg(F.min_by("value", order).alias("value"))
+    return best.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("best"))
+
+
+def surviving_records(spark: SparkSession, rows: DataFrame, group: str, row_id: str, trusted: Column, latest: str, fields: list[str], measured: list[tuple[str, str]], others: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row for each group of two or more rows: group_id, surviving row, number of rows, consensus (map of field to value).
 
     The survivor is first a trusted row, then the one with most of the ``measured`` columns filled, then the latest
     (null is earliest), then the smallest row_id. Each field of ``fields`` (text) takes the existing value closest to its
     consensus, trusted rows voting twice; a field null in all rows is missing from the map. Null groups are no group.
+    With ``others`` (columns that are no text, with their types) there is also ``best``, the map of ``voted_values``.
     """
     ws = Workspace(spark, "survivors")
     keep = rows.where(F.col(group).isNotNull()).select(
-        F.col(group).alias("group_id"), F.col(row_id).alias("row_id"), F.coalesce(trusted, F.lit(False)).alias("trusted"), filled(measured).alias("filled"), F.col(latest).cast("timestamp").alias("latest"), *[F.col(f) for f in fields]
-    )
+        F.col(group).alias("group_id"), F.col(row_id).alias("row_id"), F.coalesce(trusted, F.lit(False)).alias("trusted"), filled(measured).alias("filled"), F.col(latest).cast("timestamp").alias("latest"), *[F.col(f) for f in fields],
+        *([F.struct(*[F.col(c) for c, _ in others]).alias("others")] if others else []),
+    )
     keep = ws.stage(keep)
     order = F.struct("trusted", "filled", "latest", (-F.col("row_id")).alias("id"))
     heads = ws.stage(keep.groupBy("group_id").agg(F.max_by("row_id", order).alias("row_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
@@ -172,7 +198,8 @@ def surviving_records(spark: SparkSession, rows: DataFrame, group: str, row_id:
     votes = members.select("group_id", "trusted", "latest", pairs.alias("p")).where("p.value IS NOT NULL").groupBy("group_id", F.col("p.field").alias("field"), F.col("p.value").alias("value"))
     votes = votes.agg(F.sum(F.when(F.col("trusted"), 2.0).otherwise(1.0)).alias("weight"), F.max("latest").alias("latest"))
     values = consensus_values(ws, votes).groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("consensus"))
-    return heads.join(values, "group_id", "left")
+    out = heads.join(values, "group_id", "left")
+    return out.join(voted_values(members, others), "group_id", "left") if others else out
 
 
 FIELDS = ["result_name", "mapping_status", "mapping_method", "reduced_formula", "final_structure_file", "primary_band_job_directory"]
@@ -195,10 +222,12 @@ def candidate_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tu
 
 
 def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    """Surviving row, number of rows and consensus values of every candidate with several rows."""
+    """Surviving row and number of rows of every candidate with several rows, with the best value of every column of the record."""
     rows, columns = candidate_rows(spark, folder)
-    found = surviving_records(spark, rows, "full_candidate", "dft_row_id", F.col("analysed"), "parsed_at", FIELDS, columns)
-    return found.select(F.col("group_id").alias("candidate_id"), F.col("row_id").alias("dft_row_id"), "rows", *[F.col("consensus")[f].alias(f"best_{f}") for f in FIELDS])
+    others = [(c, k) for c, k in columns if c not in ("dft_row_id", "candidate_id", *FIELDS)]
+    found = surviving_records(spark, rows, "full_candidate", "dft_row_id", F.col("analysed"), "parsed_at", FIELDS, columns, others)
+    best = {f: F.col("consensus")[f] for f in FIELDS} | {c: read(F.col("best")[c], k) for c, k in others}
+    return found.select(F.col("group_id").alias("candidate_id"), F.col("row_id").alias("dft_row_id"), "rows", *[v.alias(f"best_{c}") for c, v in best.items()])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
