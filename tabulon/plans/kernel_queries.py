@@ -44,7 +44,7 @@ def deployment_gate(spark, d):
     """Whether the model may be used: enrichment of the top fifth at least 1.5 and lower bootstrap bound above 1."""
     oof = table(spark, d, "particle_dp_oof_predictions")
     e = evaluate.enrichment_at(oof, "oof_probability", "label", "oof_row_id").select("enrichment")
-    b = evaluate.bootstrap_ci(oof, "actual_spacegroup", "oof_probability", "label").select("ci_low")
+    b = evaluate.bootstrap_ci(oof, "actual_spacegroup", "oof_probability", "label", draws=2000).select("ci_low")
     return e.crossJoin(b).select("enrichment", "ci_low", (F.coalesce((F.col("enrichment") >= 1.5) & (F.col("ci_low") > 1), F.lit(False))).alias("deployable"))  # one row each
 
 

@@ -46,7 +46,7 @@ def enrichment_top20(spark, d):
 
 
 def group_bootstrap_ci(spark, d):
-    return evaluate.bootstrap_ci(_oof(spark, d), "actual_spacegroup", "oof_probability", "label")
+    return evaluate.bootstrap_ci(_oof(spark, d), "actual_spacegroup", "oof_probability", "label", draws=2000)
 
 
 def group_folds(spark, d):

@@ -61,3 +61,32 @@ def test_every_prediction_is_scored_or_has_an_error(spark):
     out = catalogue.QUERIES["tree_uncertainty"](spark, DATA).collect()
     assert sorted(r.oof_row_id for r in out) == sorted(r.oof_row_id for r in table(spark, DATA, "particle_dp_oof_predictions").select("oof_row_id").collect())
     assert all((r.probability is None) == (r.error is not None) for r in out)
+
+
+@data
+def test_the_bootstrap_draws_2000_times(spark):
+    from tabulon.operators import evaluate
+
+    got = catalogue.QUERIES["group_bootstrap_ci"](spark, DATA).first()
+    sizes = {}
+    for g, p, y in table(spark, DATA, "particle_dp_oof_predictions").select("actual_spacegroup", "oof_probability", "label").collect():
+        if g is not None and p is not None and p == p and y in (0, 1):
+            n, hits, chosen, both = sizes.get(g, (0, 0, 0, 0))
+            sizes[g] = (n + 1, hits + y, chosen + (p >= 0.5), both + y * (p >= 0.5))
+    groups, (a, c, m) = [sizes[g] for g in sorted(sizes)], evaluate.LCG
+    drawn = []
+    for k in range(2000):
+        picks = [groups[((i + 13) * a + c) % m * 48271 % 2147483647 % len(groups)] for i in range(k * len(groups), (k + 1) * len(groups))]
+        n, hits, chosen, both = map(sum, zip(*picks))
+        if hits and chosen:
+            drawn.append(both / chosen / (hits / n))
+    drawn.sort()
+
+    def bound(q):
+        at = q * (len(drawn) - 1)
+        low = int(at)
+        return drawn[low] + (at - low) * (drawn[min(low + 1, len(drawn) - 1)] - drawn[low])
+
+    assert got["draws"] == len(drawn) > 200
+    assert (got["ci_low"], got["ci_high"]) == (pytest.approx(bound(0.025), abs=2e-6), pytest.approx(bound(0.975), abs=2e-6))
+    assert catalogue.QUERIES["deployment_gate"](spark, DATA).first()["ci_low"] == got["ci_low"]
