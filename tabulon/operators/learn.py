@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.semantics import is_finite
 from tabulon.operators.evaluate import group_folds
+from tabulon.workspace import Workspace
 
 
 def eligible(df: DataFrame, group: str, label: str, rows: int = 30, per_class: int = 5, groups: int = 2) -> None:
@@ -63,20 +68,34 @@ def out_of_fold(spark: SparkSession, df: DataFrame, id_: str, group: str, label:
     return platt.transform(scored).select(id_, F.col(label).cast("int").alias(label), "fold", "probability", vector_to_array("pc")[1].alias("calibrated"))
 
 
+def leaf_probabilities(spark: SparkSession, model: RandomForestClassificationModel) -> np.ndarray:
+    """Probability of label 1 by tree and leaf, leaves counted from left to right as by ``leafCol``; at most 2 ** depth a tree, whatever the data."""
+    path = f"{Workspace(spark, 'forest').root}/model"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").where("leftChild < 0").select("treeID", "id", "impurityStats").collect()
+    out = np.zeros((model.getNumTrees, 1 << model.getMaxDepth()))
+    seen = [0] * len(out)
+    for tree, _, stats in sorted(nodes, key=lambda n: (n[0], n[1])):  # nodes are numbered in preorder
+        out[tree, seen[tree]] = stats[1] / sum(stats)
+        seen[tree] += 1
+    return out
+
+
 def scored_with_uncertainty(spark: SparkSession, df: DataFrame, id_: str, label: str, features: list[str], trees: int = 100, seed: int = 20) -> DataFrame:
     """(id, probability, uncertainty, error): mean and population deviation over trees; rows with unusable features only have an error."""
     ready, bad = assembled(df, features)
     train = weighted(ready.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias(label), "features"), label)
     model = forest(label, trees, seed).fit(train)
-    scored = ready.select(id_, "features")
-    votes = []
-    for i, tree in enumerate(model.trees):
-        tree.setFeaturesCol("features").setProbabilityCol(f"p{i}").setRawPredictionCol(f"r{i}").setPredictionCol(f"q{i}")
-        scored = tree.transform(scored).withColumn(f"v{i}", vector_to_array(f"p{i}")[1]).drop(f"p{i}", f"r{i}", f"q{i}")
-        votes.append(F.col(f"v{i}"))
-    n = len(votes)
-    mean = sum(votes[1:], votes[0]) / n
-    spread = F.sqrt(sum(((v - mean) ** 2 for v in votes), F.lit(0.0)) / n)
-    good = scored.select(id_, mean.alias("probability"), spread.alias("uncertainty"), F.lit(None).cast("string").alias("error"))
+    votes = leaf_probabilities(spark, model)
+    leaves = model.setLeafCol("leaf").transform(ready.select(id_, "features")).select(id_, vector_to_array("leaf", "float32").alias("leaf"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cast = votes[np.arange(len(votes)), np.stack(pdf["leaf"].to_numpy()).astype(np.int64)]
+                yield pd.DataFrame({id_: pdf[id_], "probability": cast.mean(axis=1), "uncertainty": cast.std(axis=1)})
+
+    kind = df.schema[id_].dataType.simpleString()
+    good = leaves.mapInPandas(run, f"{id_} {kind}, probability double, uncertainty double").withColumn("error", F.lit(None).cast("string"))
     none = F.lit(None).cast("double")
     return good.unionByName(bad.select(id_, none.alias("probability"), none.alias("uncertainty"), F.lit("unusable feature").alias("error")))

@@ -161,12 +161,12 @@ FEATURES = ["atom_count", "element_count", "volume_per_atom", "density_g_cm3", "
 
 def rf_oof_scores(spark, d):
     """Out-of-fold probabilities of a class-weighted forest with folds by system, calibrated on them."""
-    return learn.out_of_fold(spark, _features(spark, d), "oof_row_id", "grp", "label", FEATURES, folds=3, trees=20)
+    return learn.out_of_fold(spark, _features(spark, d), "oof_row_id", "grp", "label", FEATURES, folds=5, trees=600)
 
 
 def tree_uncertainty(spark, d):
     """Probability and its spread over trees for every row; rows with unusable features get an error."""
-    return learn.scored_with_uncertainty(spark, _features(spark, d), "oof_row_id", "label", FEATURES, trees=12)
+    return learn.scored_with_uncertainty(spark, _features(spark, d), "oof_row_id", "label", FEATURES, trees=600)
 
 
 QUERIES = {

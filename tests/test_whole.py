@@ -90,3 +90,36 @@ def test_the_bootstrap_draws_2000_times(spark):
     assert got["draws"] == len(drawn) > 200
     assert (got["ci_low"], got["ci_high"]) == (pytest.approx(bound(0.025), abs=2e-6), pytest.approx(bound(0.975), abs=2e-6))
     assert catalogue.QUERIES["deployment_gate"](spark, DATA).first()["ci_low"] == got["ci_low"]
+
+
+def test_the_forests_have_the_surveyed_size(spark, monkeypatch):
+    from tabulon.operators import learn
+    from tabulon.plans import model_queries
+
+    asked = {}
+    monkeypatch.setattr(model_queries, "_features", lambda *_: None)
+    monkeypatch.setattr(learn, "out_of_fold", lambda *_, **k: asked.update(oof=k))
+    monkeypatch.setattr(learn, "scored_with_uncertainty", lambda *_, **k: asked.update(spread=k))
+    model_queries.rf_oof_scores(spark, DATA)
+    model_queries.tree_uncertainty(spark, DATA)
+    assert asked == {"oof": {"folds": 5, "trees": 600}, "spread": {"trees": 600}}
+
+
+def test_spread_over_trees_equals_each_tree_asked(spark):
+    import random
+
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from tabulon.operators import learn
+
+    rng = random.Random(5)
+    rows = [(k, int(rng.random() < (0.8 if k % 7 < 3 else 0.3)), float(k % 7), rng.random()) for k in range(400)] + [(400, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double").coalesce(1)
+    got = {r.id: r for r in learn.scored_with_uncertainty(spark, df, "id", "label", ["a", "b"], trees=9).collect()}
+    ready, _ = learn.assembled(df, ["a", "b"])
+    model = learn.forest("label", 9, 20).fit(learn.weighted(ready.select(F.col("label").cast("double").alias("label"), "features"), "label"))
+    each = [dict(t.transform(ready).select("id", vector_to_array("probability")[1]).collect()) for t in model.trees]
+    assert got.pop(400).error == "unusable feature" and len(got) == 400
+    for k, r in got.items():
+        votes = [e[k] for e in each]
+        assert (r.probability, r.uncertainty) == (pytest.approx(np.mean(votes)), pytest.approx(np.std(votes)))
