@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 from tabulon.llm.linkage import expectation_maximisation, link_records, posterior
 from tabulon.llm.mixing import min_cost_flow, mixed, plan_mix
 from tabulon.llm.packing import limits, pack, packed, pieces_of
-from tabulon.llm.survivors import align, consensus_of, distance, profile_of, surviving_records, tokens_of
+from tabulon.llm.survivors import align, consensus_of, consensus_values, distance, profile_of, single, surviving_records, tokens_of
 from tabulon.llm.tokens import counter, sized, turns
 
 
 def test_consensus_takes_the_common_tokens():
     assert "".join(tokens_of("TaGa_sg2_0123-final")) == "TaGa_sg2_0123-final"
-    votes = [("TaGa_sg2_0123", 2.0), ("TaGa_sg2_0123_copy", 1.0), ("TaGa_sg3_0123", 1.0)]
-    assert "".join(consensus_of(profile_of(votes))) == "TaGa_sg2_0123"
-    assert consensus_of(align([], [])) == [] and distance([], ["a", "b"]) == 2 and distance(list("abc"), list("axc")) == 1
+    votes = [("TaGa_sg2_0123", 2.0, "1"), ("TaGa_sg2_0123_copy", 1.0, "3"), ("TaGa_sg3_0123", 1.0, "2")]
+    by_weight, by_trust = consensus_of(profile_of(votes))
+    assert "".join(by_weight) == "TaGa_sg2_0123" and "".join(by_trust) == "TaGa_sg2_0123_copy"
+    assert align(single("", 1.0), single("", 1.0)).columns == [] and distance([], ["a", "b"]) == 2 and distance(list("abc"), list("axc")) == 1
+
+
+def test_the_most_trusted_value_wins_every_column():
+    rng = random.Random(3)
+    for _ in range(200):
+        values = list({"".join(rng.choice(["ab", "_", "7", "Xy", "12", "-"]) for _ in range(rng.randrange(1, 9))) for _ in range(6)})
+        votes = [(v, float(rng.randrange(1, 4)), f"{i:03d}") for i, v in enumerate(values)]
+        assert "".join(consensus_of(profile_of(votes))[1]) == values[-1]
 
 
 GROUPS = "grp string, id long, ok boolean, at timestamp_ntz, name string, note string, x double, value string, weight double"
@@ -45,13 +54,35 @@ def test_survivor_order_and_fields(spark):
     assert surviving_records(spark, frame.limit(0), "grp", "id", F.col("ok"), "at", ["name"], measured).count() == 0
 
 
+def _votes(spark, rows):
+    return spark.createDataFrame(rows, "slot string, value string, weight double, latest bigint, trust string")
+
+
 def test_large_groups_are_aligned_in_blocks(spark):
-    import tabulon.llm.survivors as s
     from tabulon.workspace import Workspace
 
-    votes = spark.createDataFrame([("g", "f", f"base_{i}_tail", 1.0, None) for i in range(60)] + [("g", "f", "base_7_tail_7", 90.0, None)], "group_id string, field string, value string, weight double, latest timestamp")
-    out = s.consensus_values(Workspace(spark, "t"), votes, block=8).collect()
-    assert len(out) == 1 and out[0]["value"].startswith("base_")
+    rng = random.Random(6)
+    rows, base = [], [f"Ab{k}Cd_sg{100 + k}_0{k}17_final" for k in range(6)]
+    for k, name in enumerate(base):
+        seen = {name: 6.0}
+        while len(seen) < 60:
+            t = tokens_of(name)
+            i = rng.randrange(len(t))
+            t[i : i + rng.randrange(2)] = [rng.choice(["x", "_new", str(rng.randrange(999))])]
+            seen.setdefault("".join(t), 1.0)
+        rows += [(str(k), v, w, 0, f"{i:03d}") for i, (v, w) in enumerate(seen.items())]
+    votes = _votes(spark, rows)
+    got, whole = ({r["slot"]: (r["value"], r["trusted"]) for r in consensus_values(Workspace(spark, "t"), votes, block=n).collect()} for n in (8, 1000))
+    assert got == whole and [got[str(k)][0] for k in range(6)] == base
+    assert all(got[str(k)][1] == [r[1] for r in rows if r[0] == str(k)][-1] for k in range(6))
+
+
+def test_a_slot_with_a_third_of_all_votes(spark):
+    from tabulon.workspace import Workspace
+
+    rows = [("hot", f"a_{i}_z", 1.0, i, f"{i:05d}") for i in range(700)] + [(f"s{i}", f"b_{j}", 1.0, j, str(j)) for i in range(700) for j in range(2)] + [("n", None, 1.0, 0, "9"), ("n", "v", 1.0, 0, "1"), ("o", None, 1.0, 0, "1")]
+    got = {r["slot"]: (r["value"], r["trusted"]) for r in consensus_values(Workspace(spark, "t"), _votes(spark, rows), block=16).collect()}
+    assert len(got) == 703 and got["hot"][1] == "a_699_z" and got["s5"] == ("b_1", "b_1") and got["n"] == ("v", None) and got["o"] == (None, None)
 
 
 def test_em_separates_two_classes():
