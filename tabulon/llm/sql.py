@@ -56,9 +56,9 @@ WITH q AS (
   SELECT dft_row_id, relax_energy_per_atom_ev AS energy, translate(result_name, '₀₁₂₃₄₅₆₇₈₉', '0123456789') AS name, reduced_formula FROM dft_materials
   WHERE {_VALUE} IS NULL AND mapping_status IS DISTINCT FROM 'mapped'),
 b AS (SELECT *, regexp_replace(regexp_replace(name, '(?i)sg[-_ ]?\d+', '~', 'g'), '(^|[^A-Za-z0-9])[PIFCRA]\d_\d([^0-9]|$)', '\1~\2', 'g') AS bare FROM q),
-n AS (SELECT *, regexp_extract_all(replace(bare, '_', '__'), '(?:^|[^A-Za-z0-9])(?:no|n)?(\d+)(?:[^A-Za-z0-9]|$)', 1) AS numbers,
+n AS (SELECT *, regexp_extract_all(regexp_replace(bare, '([^A-Za-z0-9])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9])(?:no|n)?(\d+)(?:[^A-Za-z0-9]|$)', 1) AS numbers,
   list_filter(string_split_regex(name, '[^A-Za-z0-9]+'), lambda p: regexp_full_match(p, '([A-Z][a-z]?\d*){{2,}}') AND p NOT LIKE 'SG%')[1] AS token FROM b),
-d AS (SELECT dft_row_id, energy, coalesce(reduced_formula, token) AS f, ltrim(list_sort(numbers, 'DESC')[1], '0') AS number FROM n),
+d AS (SELECT dft_row_id, energy, coalesce(reduced_formula, token) AS f, ltrim(list_filter(numbers, lambda n: len(n) = list_max(list_transform(numbers, lambda m: len(m))))[1], '0') AS number FROM n),
 c AS (SELECT DISTINCT candidate_id, coalesce(reduced_formula, actual_formula, target_formula, regexp_extract(legacy_id, '^([A-Za-z0-9]+)_', 1)) AS f, ltrim(regexp_extract(legacy_id, '(\d+)$', 1), '0') AS number, relax_energy_per_atom_ev AS energy FROM structure_catalog),"""
     + _composition("dk", "d")
     + ","

@@ -82,7 +82,7 @@ def test_a_slot_with_a_third_of_all_votes(spark):
 
     rows = [("hot", f"a_{i}_z", 1.0, i, f"{i:05d}") for i in range(700)] + [(f"s{i}", f"b_{j}", 1.0, j, str(j)) for i in range(700) for j in range(2)] + [("n", None, 1.0, 0, "9"), ("n", "v", 1.0, 0, "1"), ("o", None, 1.0, 0, "1")]
     got = {r["slot"]: (r["value"], r["trusted"]) for r in consensus_values(Workspace(spark, "t"), _votes(spark, rows), block=16).collect()}
-    assert len(got) == 703 and got["hot"][1] == "a_699_z" and got["s5"] == ("b_1", "b_1") and got["n"] == ("v", None) and got["o"] == (None, None)
+    assert len(got) == 703 and got["hot"][1] == "a_699_z" and got["s5"] == ("b_0", "b_1") and got["n"] == ("v", None) and got["o"] == (None, None)
 
 
 def test_em_separates_two_classes():
@@ -92,20 +92,52 @@ def test_em_separates_two_classes():
     assert expectation_maximisation([], [2])[0] == 0.2
 
 
-RECORD = "block string, number string, spacegroup int, atoms int, energy double, c_number string, confidence double"
+RECORD = "block string, elements string, number string, spacegroup int, atoms int, energy double, c_number string, confidence double"
+
+
+def _people(spark, queries, records):
+    wide = lambda rows: [(x[0], x[1], x[1], *x[2:], "c", 0.0) for x in rows]
+    return spark.createDataFrame(wide(queries), "query_id long, " + RECORD), spark.createDataFrame(wide(records), "record_id string, " + RECORD)
 
 
 def test_links_of_every_pass(spark):
     nan = float("nan")
-    q = [(1, "A", "7", 1, 4, -1.0), (2, "A", None, 1, 4, -2.0), (3, "A", None, 1, 4, -2.005), (4, "B", "7", 1, 4, None), (5, None, "7", 1, 4, -1.0), (6, "A", None, 1, 4, nan), (7, "A", "8", None, None, None)]
+    q = [(1, "A", "7", 1, 4, -1.0), (2, "A", None, 1, 4, -2.0), (3, "A", None, 1, 4, -2.005), (4, "B", "7", 1, 4, None), (5, None, "7", 1, 4, -1.0), (6, "A", None, 1, 4, nan), (7, "A", "8", None, None, None), (8, "A", None, 1, 4, -5.0), (9, "A", "7", 1, 4, -5.0)]
     r = [("x", "A", "7", 1, 4, -1.0), ("y", "A", "9", 2, 4, -2.009), ("x", "A", "7", 1, 8, -3.0), ("w", "A", "8", 1, 4, None), ("v", "A", "8", 1, 4, None), (None, "A", "7", 1, 4, -1.0)]
-    queries = spark.createDataFrame([(*x, "c", 0.0) for x in q], "query_id long, " + RECORD)
-    records = spark.createDataFrame([(*x, "c", 0.0) for x in r], "record_id string, " + RECORD)
-    got = {(x["query_id"], x["record_id"]): x for x in link_records(spark, queries, records).collect()}
-    assert set(got) == {(1, "x"), (2, "y"), (3, "y"), (7, "v")}
-    assert got[7, "v"]["several"] and not got[1, "x"]["several"] and abs(got[2, "y"]["apart"] - 0.009) < 1e-9
+    r += [(f"k{i}", "A", None, 1, 4, -5.0 + i * 1e-6) for i in range(50)]
+    queries, records = _people(spark, q, r)
+    pairs, crowds = link_records(spark, queries, records)
+    got = {(x["query_id"], x["record_id"]): x for x in pairs.collect()}
+    assert set(got) == {(1, "x"), (2, "y"), (3, "y"), (4, "x"), (9, "x")}
+    assert {(x["query_id"], x["record_id"], x["records"], x["by"]) for x in crowds.collect()} == {(7, "v", 2, "number"), (8, "k0", 50, "energy")}
+    assert abs(got[2, "y"]["apart"] - 0.009) < 1e-9 and got[4, "x"]["formula"] == 0
     assert all(0 <= x["confidence"] <= 1 for x in got.values())
-    assert link_records(spark, queries.limit(0), records).count() == 0
+    assert [df.count() for df in link_records(spark, queries.limit(0), records)] == [0, 0]
+
+
+def test_the_posterior_tells_matches_from_others(spark):
+    rng = random.Random(4)
+    records = [(f"r{i}", f"f{i % 40}", str(i), rng.randrange(1, 6), rng.randrange(4, 9), -rng.uniform(1, 2)) for i in range(400)]
+    queries, truth = [], {}
+    for i in range(300):
+        r = rng.choice(records)
+        number = r[2] if rng.random() < 0.8 else None
+        truth[i] = r[0]
+        queries.append((i, r[1], number, r[3] if rng.random() < 0.95 else None, r[4], r[5] + rng.uniform(-0.004, 0.004)))
+    queries += [(1000 + i, f"f{i % 40}", str(5000 + i), rng.randrange(1, 6), rng.randrange(4, 9), -rng.uniform(1, 2)) for i in range(200)]
+    pairs = link_records(spark, *_people(spark, queries, records))[0].collect()
+    right = [x["confidence"] for x in pairs if truth.get(x["query_id"]) == x["record_id"]]
+    wrong = [x["confidence"] for x in pairs if truth.get(x["query_id"]) != x["record_id"]]
+    assert len(right) > 280 and len(wrong) > 100
+    assert sum(c > 0.5 for c in right) / len(right) > 0.97 and sum(c > 0.5 for c in wrong) / len(wrong) < 0.1
+
+
+def test_a_number_that_a_third_of_all_records_has(spark):
+    records = [(f"h{i}", f"f{i}", "1", 1, 4, -1.0 - i) for i in range(300)] + [(f"z{i}", "A", "2", 1, 4, -1.0) for i in range(300)] + [(f"o{i}", f"g{i}", str(10 + i), 1, 4, None) for i in range(300)]
+    queries = [(i, f"f{i}", "1", 1, 4, None) for i in range(300)] + [(500 + i, "A", "2", 1, 4, None) for i in range(300)] + [(900, "g5", "15", 1, 4, None)]
+    pairs, crowds = link_records(spark, *_people(spark, queries, records))
+    assert sorted((x["query_id"], x["record_id"]) for x in pairs.collect()) == sorted([(i, f"h{i}") for i in range(300)] + [(900, "o5")])
+    assert {(x["record_id"], x["records"]) for x in crowds.collect()} == {("z0", 300)} and crowds.count() == 300
 
 
 def test_packing_is_whole_and_tight():
