@@ -32,6 +32,18 @@ def join_unique(big: DataFrame, unique: DataFrame, key: str, heavy: list, how: s
     return big.where(hot).join(F.broadcast(unique.where(hot)), key, how).unionByName(rest)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, heavy: list, spread_by: str, salts: int = 32) -> DataFrame:
+    """left JOIN right ON key (inner, many to many). Rows of left with a heavy key are spread over ``salts`` parts by the
+    column ``spread_by``, which meet as many copies of the right rows of those keys; the rest is shuffled. Null keys match nothing."""
+    if not heavy:
+        return left.join(right, key)
+    hot = F.col(key).isin(heavy)
+    rest = left.where(~hot).join(right.where(~hot), key)
+    parts = right.where(hot).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = left.where(hot).withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(parts, [key, "__salt"]).drop("__salt")
+    return met.unionByName(rest)
+
+
 def ordered_ids(ws: Workspace, values: DataFrame, column: str, name: str) -> DataFrame:
     """Distinct non-null values with a bigint each, in the values' order (not dense). Range partitioned: no global sort in one task."""
     distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
