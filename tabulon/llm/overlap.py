@@ -1,15 +1,20 @@
 """Same or nearly the same crystals across splits (problem 2).
 
-A crystal becomes short texts of tokens, one text for each cell it can be reduced to and each of eight ways to lay the
-bins of its cell lengths. Token i is the i-th element of its composition (with its ratio, going round) together with
-the bin of one sorted cell length; any three tokens in a row hold all three lengths. Rolling hashes over three tokens
-are winnowed (least of each window of two); the selected ones are joined across splits as seeds. Seeds of two texts are
-chained along their common diagonal; a chain that covers a whole text makes a candidate pair, which is extended by
-aligning all sites under the tolerances.
-
-No pair within the tolerances is lost before the alignment: bins are twice as wide as the tolerance and laid with two
-offsets an axis, so two lengths within it share a bin in one of them, and one of the eight texts is then equal as a
-whole; winnowing selects equal hashes from equal texts.
+A crystal becomes one text of tokens: a word for each cell it can be reduced to and, in evaluation splits, for each way
+its cell lengths may be written within the tolerance. A word's i-th token is made of the composition, its i-th element
+(going round) and the bin of one sorted cell length; any three tokens in a row hold all three lengths. Rolling hashes over
+three tokens are winnowed (the least of each window of two) and the selected ones joined across splits as seeds. Seeds of
+two texts on one diagonal are chained; a chain that covers as much as a shared word must makes a candidate pair, which is
+extended by aligning all sites under the tolerances. A crystal and its supercell, or a length just beyond a bin's end,
+share only a part of their texts, at differing places: that is what the chains find.
+
+No pair within the tolerances is lost before the alignment: bins are twice as wide as the tolerance, so a train length
+lies in the bin of the evaluation length or in the nearer bin beside it; the texts then share a whole word, of at least
+four tokens, and winnowing selects a seed from every run of that length. Cells are reduced by every divisor of the
+number of formula units that the sites allow, so there is no bound on multiples.
+
+Rows are met as classes of the same side, material and written structure; copies cost nothing until pairs of rows are
+spread out, and reports count them without spreading.
 """
 
 from __future__ import annotations
@@ -25,14 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.skew import heavy_keys, join_salted, join_unique
 from tabulon.session import table
 from tabulon.workspace import Workspace
 
 LENGTH, ANGLE, SITE = 0.02, 1.0, 0.02
-#: A cell may be taken this often along an axis.
-MULTIPLE = 4
 GRAM, WINDOW = 3, 2
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
+_WIDTH = 2 * -math.log(1 - LENGTH) + 1e-6
 
 
 def split_name(written: Column) -> Column:
@@ -41,40 +46,67 @@ def split_name(written: Column) -> Column:
     return F.when(word.isin("train", "training"), "train").when(word.isin("val", "valid", "validation", "dev"), "validation").when(word.isin("test", "testing"), "test")
 
 
-def _texts(lengths: np.ndarray, elements: list[str], coords: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-    """(grid, token numbers) of every cell the crystal may be reduced to."""
-    import xxhash
+def divisors(n: int) -> list[int]:
+    return [k for k in range(1, n + 1) if n % k == 0]
+
+
+def _units(counts: Counter) -> int:
+    return reduce(math.gcd, counts.values())
+
+
+def reduced_lengths(lengths: np.ndarray, elements: list[str], coords: np.ndarray) -> list[tuple[float, ...]]:
+    """Sorted logarithms of the lengths of every cell the crystal may be reduced to, itself first.
 
+    An axis may be cut into k parts if that divides the numbers of all elements and each site, moved by 1/k, comes near
+    (within twice the tolerance at either end) another one of its element.
+    """
     counts = Counter(elements)
-    part = reduce(math.gcd, counts.values())
-    ratio = [(e, n // part) for e, n in sorted(counts.items())]
+    part = _units(counts)
     names = np.array(elements)
+    of = [np.flatnonzero(names == e) for e in counts]
 
     def repeats(axis: int, k: int) -> bool:
-        if any(n % k for n in counts.values()):
-            return False
-        moved = coords.copy()
-        moved[:, axis] += 1 / k
-        d = moved[:, None, :] - coords[None, :, :]
-        d = np.abs(d - np.round(d)).max(2)
-        d[names[:, None] != names[None, :]] = 1
-        return bool((d.min(1) <= 4 * SITE).all())
-
-    ways = [[k for k in range(1, MULTIPLE + 1) if k == 1 or (part % k == 0 and repeats(axis, k))] for axis in range(3)]
-    width = 2 * -math.log(1 - LENGTH) + 1e-6
-    seen = set()
-    for k in itertools.product(*ways):
-        if part % math.prod(k):
-            continue
-        logs = np.sort(np.log(lengths / np.array(k)))
-        for grid, offsets in enumerate(itertools.product((0.0, 0.5), repeat=3)):
-            bins = tuple(int(math.floor(x / width + o)) for x, o in zip(logs, offsets))
-            if (grid, bins) in seen:
-                continue
-            seen.add((grid, bins))
-            size = max(len(ratio), GRAM)
-            words = (f"{grid}|{len(ratio)}|{ratio[i % len(ratio)]}|{i % 3}|{bins[i % 3]}|{math.prod(n for _, n in ratio)}" for i in range(size))
-            yield grid, [xxhash.xxh64_intdigest(w) % _PRIME for w in words]
+        step = np.zeros(3)
+        step[axis] = 1 / k
+        for i in sorted(of, key=len):
+            d = coords[i][:, None, :] + step - coords[i][None, :, :]
+            d = np.abs(d - np.round(d)).max(2)
+            if not (d.min(1) <= 4 * SITE).all():
+                return False
+        return True
+
+    ways = [[k for k in divisors(part) if k == 1 or repeats(axis, k)] for axis in range(3)]
+    cells = [k for k in itertools.product(*ways) if part % math.prod(k) == 0]
+    return list(dict.fromkeys(tuple(sorted(np.log(lengths / np.array(k)).tolist())) for k in cells))
+
+
+def _bins(logs: tuple[float, ...], around: bool) -> Iterator[tuple[int, ...]]:
+    places = [x / _WIDTH for x in logs]
+    own = [math.floor(x) for x in places]
+    if not around:
+        yield tuple(own)
+        return
+    yield from itertools.product(*[(b, b + 1 if x - b >= 0.5 else b - 1) for x, b in zip(places, own)])
+
+
+def word_size(kinds: int) -> int:
+    """Tokens of a word, for a composition of so many elements: enough for a seed from every shared one."""
+    return max(kinds, GRAM + WINDOW - 1)
+
+
+def text_of(lengths: np.ndarray, elements: list[str], coords: np.ndarray, around: bool) -> list[int]:
+    """The token numbers of a crystal's words; ``around``: with those of the nearer bins beside its own."""
+    import xxhash
+
+    counts = Counter(elements)
+    part = _units(counts)
+    ratio = [f"{e}{n // part}" for e, n in sorted(counts.items())]
+    whole = xxhash.xxh64_intdigest("-".join(ratio))
+    size = word_size(len(ratio))
+    # a token's number comes from the composition, its element's place, its axis and its bin
+    heads = [(whole + (i % len(ratio)) * 0x9E3779B97F4A7C15 + (i % 3) * 0xC2B2AE3D27D4EB4F) % _PRIME for i in range(size)]
+    words = dict.fromkeys(b for logs in reduced_lengths(lengths, elements, coords) for b in _bins(logs, around))
+    return [(heads[i] * (2 * (bins[i % 3] + (1 << 20)) + 1)) % _PRIME for bins in words for i in range(size)]
 
 
 def winnow(tokens: list[int], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -96,19 +128,29 @@ def winnow(tokens: list[int], gram: int = GRAM, window: int = WINDOW) -> list[tu
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for crystal, cell, elements, coords in zip(pdf["crystal"], pdf["cell"], pdf["elements"], pdf["coords"]):
-            for text, (_, tokens) in enumerate(_texts(np.array(cell[:3], float), list(elements), np.array(coords, float).reshape(-1, 3))):
-                chosen = winnow(tokens)
-                out.extend((crystal, text, h, p, len(chosen)) for p, h in chosen)
-        yield pd.DataFrame(out, columns=["crystal", "text", "seed", "place", "seeds"])
+        for cid, trained, held, cell, elements, coords in zip(*[pdf[c] for c in ("cid", "trained", "held", "cell", "elements", "coords")]):
+            lengths, elements, coords = np.array(cell[:3], float), list(elements), np.array(coords, float).reshape(-1, 3)
+            size = word_size(len(set(elements)))
+            for side, on in (("a", trained), ("b", held)):
+                if on:
+                    out.extend((cid, side, h, p, size) for p, h in winnow(text_of(lengths, elements, coords, side == "b")))
+        yield pd.DataFrame(out, columns=["cid", "side", "seed", "place", "size"])
 
 
 def same_crystal(cell_a, elements_a, coords_a, cell_b, elements_b, coords_b) -> bool:
-    """Whether two crystals agree within the tolerances after choosing origin, order of axes and sites and multiples of the cells."""
+    """Whether two crystals agree within the tolerances after choosing origin, order of axes and sites and multiples of the cells.
+
+    The cells' multiples along an axis are the divisors of the other one's number of formula units: with no common factor,
+    each must repeat itself as often as the other one is multiplied.
+    """
     a, b = np.asarray(cell_a, float), np.asarray(cell_b, float)
     xa, xb = np.asarray(coords_a, float).reshape(-1, 3), np.asarray(coords_b, float).reshape(-1, 3)
     ea, eb = np.array(list(elements_a)), np.array(list(elements_b))
-    pairs = [(i, j) for i in range(1, MULTIPLE + 1) for j in range(1, MULTIPLE + 1) if math.gcd(i, j) == 1]
+    ca, cb = Counter(ea.tolist()), Counter(eb.tolist())
+    ua, ub = _units(ca), _units(cb)
+    if {e: n // ua for e, n in ca.items()} != {e: n // ub for e, n in cb.items()}:
+        return False
+    pairs = [(i, j) for i in divisors(ub) for j in divisors(ua) if math.gcd(i, j) == 1]
     for order in itertools.permutations(range(3)):
         order = list(order)
         if np.abs(a[3:] - b[3:][order]).max() > ANGLE + 1e-9:
@@ -128,112 +170,165 @@ def _repeated(elements: np.ndarray, coords: np.ndarray, times: list[int]) -> tup
 
 
 def _sites_agree(ea: np.ndarray, xa: np.ndarray, eb: np.ndarray, xb: np.ndarray) -> bool:
+    """Whether one origin brings each site within SITE of one of its element. Elements are looked at one by one, the rarest first."""
     counts = Counter(ea.tolist())
     if counts != Counter(eb.tolist()):
         return False
-    rare = min(counts, key=lambda e: (counts[e], e))
-    start = xa[np.flatnonzero(ea == rare)[0]]
-    other = ea[:, None] != eb[None, :]
-    for j in np.flatnonzero(eb == rare):
-        d = xb[None, :, :] - xa[:, None, :] - (xb[j] - start)
-        d -= np.round(d)
-        near = (np.abs(d) <= 2 * SITE + 1e-9).all(2) & ~other
-        if not near.any(1).all() or not near.any(0).all():
-            continue
-        partner = _matching(near, np.abs(d).max(2))
-        if partner is None:
-            continue
-        off = d[np.arange(len(ea)), partner]
-        if (off.max(0) - off.min(0)).max() <= 2 * SITE + 1e-9:  # then one origin brings every site within SITE
-            return True
+    kinds = sorted(counts, key=lambda e: (counts[e], e))
+    of_a, of_b = [xa[ea == e] for e in kinds], [xb[eb == e] for e in kinds]
+    start = of_a[0][0]
+    for first in of_b[0]:
+        low, high = np.full(3, np.inf), np.full(3, -np.inf)
+        for one, two in zip(of_a, of_b):
+            d = two[None, :, :] - one[:, None, :] - (first - start)
+            d -= np.round(d)
+            far = np.abs(d).max(2)
+            near = far <= 2 * SITE + 1e-9
+            partner = _matching(near, far) if near.any(1).all() and near.any(0).all() else None
+            if partner is None:
+                break
+            off = d[np.arange(len(one)), partner]
+            low, high = np.minimum(low, off.min(0)), np.maximum(high, off.max(0))
+        else:
+            if (high - low).max() <= 2 * SITE + 1e-9:
+                return True
     return False
 
 
 def _matching(near: np.ndarray, cost: np.ndarray) -> np.ndarray | None:
-    """A one-to-one choice of near partners, nearest first, by augmenting paths."""
-    taken = np.full(near.shape[1], -1)
-
-    def place(i: int, seen: set) -> bool:
-        for j in sorted(np.flatnonzero(near[i]), key=lambda j: cost[i, j]):
-            if j not in seen:
-                seen.add(j)
-                if taken[j] < 0 or place(taken[j], seen):
-                    taken[j] = i
-                    return True
-        return False
-
-    if not all(place(i, set()) for i in range(near.shape[0])):
-        return None
-    partner = np.empty(near.shape[0], int)
-    partner[taken] = np.arange(near.shape[1])
+    """A one-to-one choice of near partners: nearest first, then by augmenting paths found breadth first."""
+    n = len(near)
+    partner, taken = np.full(n, -1), np.full(n, -1)
+    options = [np.flatnonzero(row) for row in near]
+    options = [o[np.argsort(cost[i, o], kind="stable")] for i, o in enumerate(options)]
+    for i in range(n):
+        for j in options[i]:
+            if taken[j] < 0:
+                partner[i], taken[j] = j, i
+                break
+    for i in np.flatnonzero(partner < 0):
+        came, queue, end = {}, [i], -1
+        while queue and end < 0:
+            nxt = []
+            for k in queue:
+                for j in options[k]:
+                    if j not in came:
+                        came[j] = k
+                        if taken[j] < 0:
+                            end = j
+                            break
+                        nxt.append(taken[j])
+                if end >= 0:
+                    break
+            queue = nxt
+        if end < 0:
+            return None
+        while end >= 0:
+            k = came[end]
+            before = partner[k]
+            partner[k], taken[end] = end, k
+            end = before if k != i else -1
     return partner
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = [same_crystal(*r) for r in zip(pdf["cell_a"], pdf["elements_a"], pdf["coords_a"], pdf["cell_b"], pdf["elements_b"], pdf["coords_b"])]
-        yield pdf.loc[keep, ["crystal_a", "crystal_b"]]
+        yield pdf.loc[keep, ["cid_a", "cid_b", "chain"]]
 
 
-def crystal_members(ws: Workspace, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_id, side, crystal) of rows (row_id, side, material, structure), and the distinct crystals as flat arrays.
+def crystal_classes(ws: Workspace, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows (row_id, side, material, structure, …): the rows of a side with their class ``cls``; the classes (cls, side,
+    material, n); the crystals of each class (cls, side, cid); the distinct crystals as flat arrays.
 
     A row without a structure has those of its material. Equal written structures are one crystal. Structures without
     sites, or with a null length, angle, element or coordinate, or a length that isn't positive, match nothing.
     """
-    given = rows.where(F.col("structure").isNotNull())
-    lent = rows.where(F.col("structure").isNull() & F.col("material").isNotNull()).select("row_id", "side", "material")
-    wanted = lent.select("material").distinct()
-    donors = given.where(F.col("material").isNotNull()).join(wanted, "material", "left_semi").select("material", "structure")
-    donors = donors.withColumn("crystal", F.md5(F.to_json("structure"))).groupBy("material", "crystal").agg(F.first("structure").alias("structure"))
-    every = given.select("row_id", "side", "structure").unionByName(lent.join(donors, "material").select("row_id", "side", "structure"))
     lattice = F.array(*[F.col(f"structure.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")])
-    elements = F.col("structure.sites.element")
-    coords = F.flatten(F.transform("structure.sites", lambda s: s["frac_coords"]))
-    flat = every.select("row_id", "side", F.md5(F.to_json("structure")).alias("crystal"), lattice.alias("cell"), elements.alias("elements"), coords.alias("coords"))
+    flat = rows.withColumns({"cell": lattice, "elements": F.col("structure.sites.element"), "coords": F.flatten(F.transform("structure.sites", lambda s: s["frac_coords"]))})
     sound = (F.size("elements") > 0) & (F.size("coords") == 3 * F.size("elements"))
     for c in ("cell", "elements", "coords"):
         sound = sound & ~F.exists(c, lambda x: x.isNull())
     sound = sound & F.forall("cell", lambda x: x > 0) & F.forall("coords", lambda x: ~F.isnan(x))
-    flat = ws.stage(flat.where(F.coalesce(sound, F.lit(False))))
-    crystals = ws.stage(flat.groupBy("crystal").agg(F.first("cell").alias("cell"), F.first("elements").alias("elements"), F.first("coords").alias("coords"), F.bool_or(F.col("side") == "train").alias("trained"), F.bool_or(F.col("side") == "eval").alias("held")))
-    return flat.select("row_id", "side", "crystal"), crystals
+    flat = flat.withColumn("crystal", F.when(F.coalesce(sound, F.lit(False)), F.md5(F.to_json("structure")))).withColumn("lent", F.col("structure").isNull()).drop("structure")
+    key = F.md5(F.to_json(F.struct("side", "material", "crystal", "lent"), {"ignoreNullFields": "false"}))
+    flat = ws.stage(flat.withColumn("cls", F.when(F.col("side").isNotNull(), key)))
+    classes = ws.stage(flat.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("side", "material", "crystal", "lent")], F.count(F.lit(1)).alias("n")))
+    lent = classes.where("lent AND material IS NOT NULL").select("cls", "side", "material")
+    donors = flat.where("crystal IS NOT NULL AND material IS NOT NULL").join(lent.select("material").distinct(), "material", "left_semi").select("material", "crystal").distinct()
+    owned = ws.stage(classes.where("crystal IS NOT NULL").select("cls", "side", "crystal").unionByName(lent.join(donors, "material").select("cls", "side", "crystal")))
+    sides = owned.groupBy("crystal").agg(F.bool_or(F.col("side") == "train").alias("trained"), F.bool_or(F.col("side") == "eval").alias("held"))
+    arrays = flat.where("crystal IS NOT NULL").groupBy("crystal").agg(*[F.first(c).alias(c) for c in ("cell", "elements", "coords")])
+    crystals = ws.stage(arrays.join(sides, "crystal").withColumn("cid", F.monotonically_increasing_id()))
+    fan = heavy_keys(owned.groupBy("crystal").agg(F.count(F.lit(1)).alias("n")), "crystal", "n", owned.count())
+    owned = ws.stage(join_unique(owned, crystals.select("crystal", "cid"), "crystal", fan).select("cls", "side", "cid"))
+    return flat.where("cls IS NOT NULL").drop("cell", "elements", "coords", "crystal", "lent"), classes.select("cls", "side", "material", "n"), owned, crystals
 
 
 def matching_crystals(ws: Workspace, crystals: DataFrame) -> DataFrame:
-    """(crystal_a in train, crystal_b in evaluation) that are the same, by seeds, chains and alignment."""
-    prints = ws.stage(crystals.select("crystal", "cell", "elements", "coords").mapInPandas(_fingerprints, "crystal string, text int, seed bigint, place int, seeds int").join(crystals.select("crystal", "trained", "held"), "crystal"))
-    a = prints.where("trained").select("seed", "place", F.col("crystal").alias("crystal_a"), F.col("text").alias("text_a"), "seeds")
-    b = prints.where("held").select("seed", "place", F.col("crystal").alias("crystal_b"), F.col("text").alias("text_b"), F.col("seeds").alias("seeds_b"))
-    seeds = a.join(b, ["seed", "place"]).where("seeds = seeds_b AND crystal_a != crystal_b")
-    chains = seeds.groupBy("crystal_a", "text_a", "crystal_b", "text_b").agg(F.count_distinct("place").alias("met"), F.max("seeds").alias("seeds"))
-    candidates = chains.where("met = seeds").select("crystal_a", "crystal_b").distinct()
-    whole = crystals.select("crystal", "cell", "elements", "coords")
-    side = lambda s: whole.select(*[F.col(c).alias(f"{c}_{s}") for c in whole.columns])
-    candidates = ws.stage(candidates)
+    """(cid_a in train, cid_b in evaluation, chain) that are the same, by seeds, chains and alignment; ``chain``: the share of a word that the longest chain covers."""
+    prints = ws.stage(crystals.select("cid", "trained", "held", "cell", "elements", "coords").mapInPandas(_fingerprints, "cid bigint, side string, seed bigint, place int, size int"))
+    a = prints.where("side = 'a'").select("seed", F.col("cid").alias("cid_a"), F.col("place").alias("place_a"), "size")
+    b = prints.where("side = 'b'").select("seed", F.col("cid").alias("cid_b"), F.col("place").alias("place_b"))
+    per = prints.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    seeds = join_salted(a, b, "seed", heavy_keys(per, "seed", "n", prints.count()), "cid_a").where("cid_a != cid_b")
+    chains = seeds.groupBy("cid_a", "cid_b", (F.col("place_b") - F.col("place_a")).alias("diagonal")).agg(F.array_sort(F.collect_set("place_a")).alias("places"), F.first("size").alias("size"))
+    # tokens covered by grams at sorted places: a whole gram, or what lies beyond the gram before
+    covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(-GRAM).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(GRAM), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+    chains = chains.withColumn("covered", covered).where(F.col("covered") >= F.greatest(F.lit(GRAM), F.col("size") - 2 * (WINDOW - 1)))
+    candidates = ws.stage(chains.groupBy("cid_a", "cid_b").agg(F.max(F.least(F.lit(1.0), F.col("covered") / F.col("size"))).alias("chain")))
+    total = candidates.count()
+    whole = crystals.select("cid", "cell", "elements", "coords")
+    dressed = candidates
+    for s in ("a", "b"):
+        fan = heavy_keys(candidates.groupBy(f"cid_{s}").agg(F.count(F.lit(1)).alias("n")), f"cid_{s}", "n", total)
+        dressed = join_unique(dressed, whole.select(*[F.col(c).alias(f"{c}_{s}") for c in whole.columns]), f"cid_{s}", fan)
     # one task holds few candidates, as each alignment is costly
-    dressed = candidates.join(side("a"), "crystal_a").join(side("b"), "crystal_b").repartition("crystal_a", "crystal_b")
-    different = dressed.mapInPandas(_aligned, "crystal_a string, crystal_b string")
-    equal = crystals.where("trained AND held").select(F.col("crystal").alias("crystal_a"), F.col("crystal").alias("crystal_b"))
+    different = dressed.repartition("cid_a", "cid_b").mapInPandas(_aligned, "cid_a bigint, cid_b bigint, chain double")
+    equal = crystals.where("trained AND held").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"), F.lit(1.0).alias("chain"))
     return ws.stage(different.unionByName(equal))
 
 
+def class_pairs(ws: Workspace, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cls_a in train, cls_b in evaluation, chain), the rows of a side with their class, and the classes; chain is null for pairs by material alone."""
+    rows = rows.withColumn("material", F.nullif(F.trim("material"), F.lit("")))
+    members, classes, owned, crystals = crystal_classes(ws, rows)
+    same = matching_crystals(ws, crystals)
+    side = lambda df, s, *more: df.where(F.col("side") == ("train" if s == "a" else "eval")).select(F.col("cls").alias(f"cls_{s}"), *more)
+    total = owned.count()
+    found = same
+    for s in ("a", "b"):
+        fan = heavy_keys(owned.groupBy("cid").agg(F.count(F.lit(1)).alias("n")), "cid", "n", total)
+        found = join_salted(side(owned, s, F.col("cid").alias(f"cid_{s}")), found, f"cid_{s}", fan, f"cls_{s}")
+    named = classes.where("material IS NOT NULL")
+    fan = heavy_keys(named.groupBy("material").agg(F.count(F.lit(1)).alias("n")), "material", "n", named.count())
+    by_material = join_salted(side(named, "a", "material"), side(named, "b", "material"), "material", fan, "cls_a")
+    both = found.select("cls_a", "cls_b", "chain").unionByName(by_material.select("cls_a", "cls_b", F.lit(None).cast("double").alias("chain")))
+    return ws.stage(both.groupBy("cls_a", "cls_b").agg(F.max("chain").alias("chain"))), members, classes
+
+
 def cross_split_pairs(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(train_row, eval_row) for rows (row_id, side, material, structure), side being train, eval or null.
 
-    Pairs of the same material or the same crystal, each once. Copies of one crystal are matched as one and spread out
-    at the end. Rows of no side, and null or blank materials, match nothing; an empty table gives no pairs.
+    Pairs of the same material or the same crystal, each once; they are spread out from pairs of classes at the end, hot
+    classes in salted parts. Rows of no side, and null or blank materials, match nothing; an empty table gives no pairs.
     """
     ws = Workspace(spark, "overlap")
-    rows = rows.withColumn("material", F.nullif(F.trim("material"), F.lit("")))
-    members, crystals = crystal_members(ws, rows)
-    same = matching_crystals(ws, crystals)
-    train = members.where("side = 'train'").select(F.col("row_id").alias("train_row"), F.col("crystal").alias("crystal_a"))
-    held = members.where("side = 'eval'").select(F.col("row_id").alias("eval_row"), F.col("crystal").alias("crystal_b"))
-    by_crystal = same.join(train, "crystal_a").join(held, "crystal_b").select("train_row", "eval_row")
-    left = rows.where("side = 'train'").select(F.col("row_id").alias("train_row"), "material")
-    right = rows.where("side = 'eval'").select(F.col("row_id").alias("eval_row"), "material")
-    return by_crystal.unionByName(left.join(right, "material").select("train_row", "eval_row")).distinct()
+    found, members, classes = class_pairs(ws, rows)
+    total = members.count()
+    for s, name in (("a", "train"), ("b", "eval")):
+        rows_of = members.where(F.col("side") == name).select(F.col("row_id").alias(f"{name}_row"), F.col("cls").alias(f"cls_{s}"))
+        found = join_salted(rows_of, found, f"cls_{s}", heavy_keys(classes, "cls", "n", total), f"{name}_row")
+    return found.select("train_row", "eval_row")
+
+
+def overlapping_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Every evaluation row with the number of train rows of its material or crystal and its longest chain; copies are counted, not spread out."""
+    ws = Workspace(spark, "overlap")
+    found, members, classes = class_pairs(ws, rows)
+    fan = heavy_keys(found.groupBy("cls_a").agg(F.count(F.lit(1)).alias("n")), "cls_a", "n", found.count())
+    per = join_unique(found, classes.select(F.col("cls").alias("cls_a"), "n"), "cls_a", fan).groupBy(F.col("cls_b").alias("cls")).agg(F.sum("n").alias("pairs"), F.max("chain").alias("chain"))
+    return join_unique(members.where("side = 'eval'"), per, "cls", heavy_keys(classes, "cls", "n", members.count()), "left").drop("cls")
 
 
 def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,10 +345,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
-    """By evaluation split and database: rows, rows with a double in train, pairs, and the share of rows covered."""
-    rows = snapshot_rows(spark, folder)
-    per_row = cross_split_pairs(spark, rows).groupBy("eval_row").agg(F.count(F.lit(1)).alias("pairs"))
-    held = rows.where("side = 'eval'").select("row_id", "split", "database")
-    joined = held.join(per_row, held["row_id"] == per_row["eval_row"], "left")
-    by = joined.groupBy("split", "database").agg(F.count(F.lit(1)).alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    """By evaluation split and database: rows, rows with a double in train, pairs, the share of rows covered, and the mean
+    share of a word that the chains of the rows found by their crystal cover."""
+    rows = overlapping_rows(spark, snapshot_rows(spark, folder))
+    by = rows.groupBy("split", "database").agg(F.count(F.lit(1)).alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("chain"), 6).alias("chain_coverage"))
     return by.withColumn("coverage", F.round(F.col("overlapping") / F.col("rows"), 6))
