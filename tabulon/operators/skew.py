@@ -14,8 +14,10 @@ SHARE = 1 / 400
 def heavy_keys(counts: DataFrame, key: str, n: str, total: int, share: float = SHARE, least: int = 20_000) -> list:
     """Keys of a (key, count) table that hold at least ``share`` of ``total`` rows and ``least`` rows.
 
-    At most 1 / share values come to the driver, whatever the data.
+    At most 1 / share values come to the driver, whatever the data. Fewer than ``least`` rows have no heavy key: no job is run.
     """
+    if total < least:
+        return []
     floor = max(total * share, least)
     return [r[0] for r in counts.where((F.col(n) >= F.lit(floor)) & F.col(key).isNotNull()).select(key).collect()]
 
