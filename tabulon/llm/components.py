@@ -13,14 +13,16 @@ from tabulon.operators.skew import heavy_keys, join_unique, ordered_ids
 from tabulon.workspace import Workspace
 
 
-def _numbered(ws: Workspace, links: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct links as (hi, lo) of ordered bigint ids, and the table of (value, id)."""
+def _numbered(ws: Workspace, links: DataFrame, left: str, right: str, share: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct links as (hi, lo) of ordered bigint ids, and the table of (value, id). Ends with many links are met by broadcast."""
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     pairs = ws.stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = ordered_ids(ws, pairs.select(F.explode(F.array("a", "b")).alias("value")), "value", "id")
-    hi = nodes.select(F.col("value").alias("a"), F.col("id").alias("hi"))
-    lo = nodes.select(F.col("value").alias("b"), F.col("id").alias("lo"))
-    edges = ws.stage(pairs.join(hi, "a").join(lo, "b").select("hi", "lo"))
+    total, edges = pairs.count(), pairs
+    for end, name in (("a", "hi"), ("b", "lo")):
+        fan = heavy_keys(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, "n", total, share, least)
+        edges = join_unique(edges, nodes.select(F.col("value").alias(end), F.col("id").alias(name)), end, fan)
+    edges = ws.stage(edges.select("hi", "lo"))
     ws.drop(pairs)
     return edges, nodes
 
@@ -43,7 +45,7 @@ def star_groups(links: DataFrame, left: str, right: str, id_name: str = "record_
     """
     spark = links.sparkSession
     ws = Workspace(spark, "stars")
-    edges, nodes = _numbered(ws, links, left, right)
+    edges, nodes = _numbered(ws, links, left, right, share, least)
     mark = _mark(edges)
     while True:
         total = mark[0]
@@ -56,7 +58,7 @@ def star_groups(links: DataFrame, left: str, right: str, id_name: str = "record_
         # small-star
         low_of = ws.stage(large.groupBy("hi").agg(F.min("lo").alias("low"), F.count(F.lit(1)).alias("n")))
         heavy = heavy_keys(low_of, "hi", "n", total, share, least)
-        met = join_unique(large.join(low_of.where("n > 1").select("hi"), "hi", "left_semi"), low_of.select("hi", "low"), "hi", heavy)
+        met = join_unique(large, low_of.where("n > 1").select("hi", "low"), "hi", heavy)
         small = met.where("lo != low").select(F.col("lo").alias("hi"), F.col("low").alias("lo")).unionByName(low_of.select("hi", F.col("low").alias("lo"))).distinct()
         after = ws.stage(small)
         ws.drop(edges, least_of, large, low_of)
@@ -81,7 +83,7 @@ def hooked_roots(links: DataFrame, left: str, right: str, id_name: str = "record
     """
     spark = links.sparkSession
     ws = Workspace(spark, "hooks")
-    edges, nodes = _numbered(ws, links, left, right)
+    edges, nodes = _numbered(ws, links, left, right, share, least)
     parents = nodes.select("id", F.col("id").alias("parent"))
     while (total := edges.count()) > 0:
         both = edges.select(F.col("hi").alias("id"), F.col("lo").alias("other")).unionByName(edges.select(F.col("lo").alias("id"), F.col("hi").alias("other")))

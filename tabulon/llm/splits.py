@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -16,8 +17,10 @@ from tabulon.session import table
 from tabulon.workspace import Workspace
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Longest bitset of split totals; beyond it sizes are counted in units, whose number it is.
+#: Length of the first bitset of split totals; it grows until a total is met that can't be bettered.
 BITS = 1 << 20
+#: Orders of the sizes that are tried for a like share of labels.
+TRIES = 24
 
 
 def tied_rows(ws: Workspace, rows: DataFrame, row_id: str, share: float = 1 / 400, least: int = 20_000) -> tuple[DataFrame, DataFrame]:
@@ -48,37 +51,64 @@ def with_root(keyed: DataFrame, roots: DataFrame, share: float = 1 / 400, least:
     return join_unique(keyed, roots, "key", fan, "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def _closest_subset(steps: list[tuple[int, int]], aim: int, unit: int) -> list[tuple[int, int]]:
-    """Steps (size, number) whose total, in units, is as close to ``aim`` as any subset's of those looked at.
+def _by_bitset(steps: list[tuple[int, int]], aim: int, goal: int) -> tuple[int, list[int]]:
+    """The total closest to ``aim`` that a subset of the steps (size, number) has, and the places of that subset's steps.
 
     A bitset of reachable totals, up to twice the aim, is shifted by each step; each newly reached total remembers its
-    step. Looking ends when the aim itself is reached.
+    step. Looking ends when ``goal`` is reached.
     """
     mask = (1 << (2 * aim + 1)) - 1
-    reached, first = 1, np.full(2 * aim + 1, -1, np.int64)
+    reached, new_at = 1, []
     for i, (s, n) in enumerate(steps):
-        new = (reached << (n * (s // unit))) & mask & ~reached
+        new = (reached << (n * s)) & mask & ~reached
         if new:
-            where = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes((2 * aim) // 8 + 1, "little"), np.uint8), bitorder="little"))
-            first[where] = i
+            new_at.append((i, new))
             reached |= new
-            if reached >> aim & 1:
+            if reached >> goal & 1:
                 break
-    best = min((t for d in range(aim + 1) for t in (aim - d, aim + d) if reached >> t & 1), key=lambda t: abs(t - aim))
-    taken = []
-    while best > 0:
-        taken.append(steps[first[best]])
-        best -= taken[-1][1] * (taken[-1][0] // unit)
-    return taken
-
-
-def choose_counts(sizes: dict[int, int], proportions=PROPORTIONS, labels: dict[int, tuple[float, float]] | None = None, bits: int = BITS, tries: int = 24, seed: int = 7) -> dict[int, list[int]]:
+    low, high = (reached & ((1 << (aim + 1)) - 1)).bit_length() - 1, reached >> aim
+    above = aim + (high & -high).bit_length() - 1 if high else None
+    best = above if above is not None and above - aim < aim - low else low
+    taken, left = [], best
+    for i, new in reversed(new_at):  # a total is reached by the step that met it first, on one that was there before
+        if new >> left & 1:
+            taken.append(i)
+            left -= steps[i][0] * steps[i][1]
+    return best, taken
+
+
+def _closest_subset(steps: list[tuple[int, int]], aim: int, bits: int) -> list[tuple[int, int]]:
+    """Steps (size, number) whose total is as close to ``aim`` as any subset's.
+
+    No total is closer than the multiple of the sizes' greatest common divisor next to the aim. Steps are taken in order
+    while more than ``bits`` is lacking, a bitset fills the rest from the steps left; if it misses that multiple, more is
+    left to a longer bitset, at last all of the aim. So the result is exact, and the usual case short.
+    """
+    if not steps:
+        return []
+    unit = math.gcd(*[s for s, _ in steps])
+    goal = min((aim // unit * unit, -(-aim // unit) * unit), key=lambda t: (abs(t - aim), t))
+    while True:
+        lack, taken, others = aim, [], []
+        for s, n in steps:
+            if lack - s * n >= bits:
+                taken.append((s, n))
+                lack -= s * n
+            else:
+                others.append((s, n))
+        best, places = _by_bitset(others, lack, max(0, goal - (aim - lack)))
+        if aim - lack + best == goal or not taken:
+            return taken + [others[i] for i in places]
+        bits *= 16
+
+
+def choose_counts(sizes: dict[int, int], proportions=PROPORTIONS, labels: dict[int, tuple[float, float]] | None = None, bits: int = BITS, tries: int = TRIES, seed: int = 7) -> dict[int, list[int]]:
     """For groups of each size (with their number), how many go to each split; the first split takes the rest.
 
     Every size first gives each split its whole proportional number. Of the groups left over, each split but the first
     takes the subset whose total comes closest to what it lacks (_closest_subset). Many subsets reach the same total:
-    of ``tries`` orders of the sizes, the one is taken whose share of label 1 is closest to that of all rows.
-    ``labels``: by size, the sums over its groups of rows labelled 1 and of rows with a label.
+    where labels differ, ``tries`` orders of the sizes are looked at and the one is taken whose share of label 1 is
+    closest to that of all rows. ``labels``: by size, the sums over its groups of rows labelled 1 and of rows with a label.
     """
     total = sum(s * m for s, m in sizes.items())
     labels = labels or {}
@@ -93,14 +123,12 @@ def choose_counts(sizes: dict[int, int], proportions=PROPORTIONS, labels: dict[i
             left[s] -= counts[s][k]
     for k, (_, share) in enumerate(proportions[1:], 1):
         lack = round(total * share) - sum(s * c[k] for s, c in counts.items())
-        unit = max(1, -(-lack // bits))
-        aim = lack // unit
-        if aim <= 0:
+        if lack <= 0:
             continue
         steps = []
         for s, free in left.items():
             take = 1
-            while free > 0 and unit <= s <= 2 * aim * unit:
+            while free > 0 and s <= 2 * lack:
                 n = min(take, free)
                 steps.append((s, n))
                 free -= n
@@ -111,10 +139,10 @@ def choose_counts(sizes: dict[int, int], proportions=PROPORTIONS, labels: dict[i
         want = (overall * (have + more) - ones) / more if more else overall
         away = {s: abs(per_group[s][0] / per_group[s][1] - want) if per_group[s][1] else want for s in left}
         best = None
-        for t in range(tries if known else 1):
+        for t in range(tries if 0 < overall < 1 else 1):
             dice = random.Random(f"{seed}-{k}-{t}")
             steps.sort(key=lambda x: (away[x[0]] + dice.random() * t / tries, x))
-            taken = _closest_subset(steps, aim, unit)
+            taken = _closest_subset(steps, lack, bits)
             got = {s: c[k] for s, c in counts.items()}
             for s, n in taken:
                 got[s] += n
@@ -131,7 +159,7 @@ def choose_counts(sizes: dict[int, int], proportions=PROPORTIONS, labels: dict[i
 
 
 def split_rows(spark: SparkSession, rows: DataFrame, row_id: str, proportions=PROPORTIONS, bits: int = BITS) -> DataFrame:
-    """(row_id, group_id, split) for every row; tied rows share a split.
+    """(row_id, written, group_id, split) for every row; tied rows share a split.
 
     Rows: row_id, written, system, holder, label (0, 1 or null). Split totals come as close to the proportions as whole
     groups allow (choose_counts); within a size, groups are taken evenly along their share of label 1, so that shares of
@@ -140,7 +168,7 @@ def split_rows(spark: SparkSession, rows: DataFrame, row_id: str, proportions=PR
     """
     ws = Workspace(spark, "splits")
     keyed, roots = tied_rows(ws, rows, row_id)
-    rooted = ws.stage(with_root(keyed, roots).select(row_id, "label", F.coalesce("root", F.concat(F.lit("2"), F.col(row_id).cast("string"))).alias("group_id")))
+    rooted = ws.stage(with_root(keyed, roots).select(row_id, "written", "label", F.coalesce("root", F.concat(F.lit("2"), F.col(row_id).cast("string"))).alias("group_id")))
     groups = rooted.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") == 1).alias("hits"), F.count_if(F.col("label").isin(0, 1)).alias("known"))
     groups = ws.stage(groups.withColumn("ones", F.coalesce(F.try_divide("hits", "known"), F.lit(-1.0))))
     by_size = groups.groupBy("size").agg(F.count(F.lit(1)), F.sum("hits"), F.sum("known")).collect()
@@ -162,7 +190,7 @@ def split_rows(spark: SparkSession, rows: DataFrame, row_id: str, proportions=PR
         chosen = chosen.withColumn("i", F.col("i") - upto).withColumn("m", F.col("m") - take)
     chosen = ws.stage(chosen.select("group_id", F.coalesce("split", F.lit(names[0])).alias("split"), "size"))
     fan = heavy_keys(chosen, "group_id", "size", rooted.count())
-    return join_unique(rooted.select(row_id, "group_id"), chosen.select("group_id", "split"), "group_id", fan).select(row_id, "group_id", "split")
+    return join_unique(rooted.select(row_id, "written", "group_id"), chosen.select("group_id", "split"), "group_id", fan).select(row_id, "written", "group_id", "split")
 
 
 def oof_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,20 +200,19 @@ def oof_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of groups in which the system is written in at least two ways, with the group's smallest system."""
+    """Rows of groups, placed in one split as a whole, in which the system is written in at least two ways, with the group's smallest system."""
     ws = Workspace(spark, "systems")
-    rows = ws.stage(oof_rows(spark, folder))
-    keyed, roots = tied_rows(ws, rows, "oof_row_id")
-    rooted = ws.stage(with_root(keyed, roots).where(F.col("root").isNotNull()).select("oof_row_id", "written", "root"))
-    groups = rooted.groupBy("root").agg(F.min("written").alias("low"), F.max("written").alias("high"), F.count(F.lit(1)).alias("n"))
-    several = ws.stage(groups.where("low < high").select("root", "n"))
-    fan = heavy_keys(several, "root", "n", rooted.count())
-    return join_unique(rooted, several.select("root"), "root", fan).select("oof_row_id", F.when(F.col("root").startswith("0"), F.substring("root", 2, 1 << 30)).alias("group_key"))
+    placed = ws.stage(split_rows(spark, oof_rows(spark, folder), "oof_row_id"))
+    groups = placed.groupBy("group_id").agg(F.min("written").alias("low"), F.max("written").alias("high"), F.min("split").alias("first"), F.max("split").alias("last"), F.count(F.lit(1)).alias("n"))
+    several = ws.stage(groups.where("low < high AND first = last").select("group_id", "n"))
+    fan = heavy_keys(several, "group_id", "n", placed.count())
+    met = join_unique(placed, several.select("group_id"), "group_id", fan)
+    return met.select("oof_row_id", F.when(F.col("group_id").startswith("0"), F.substring("group_id", 2, 1 << 30)).alias("group_key"))
 
 
 def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Every row with its split."""
-    return split_rows(spark, oof_rows(spark, folder), "oof_row_id")
+    return split_rows(spark, oof_rows(spark, folder), "oof_row_id").drop("written")
 
 
 def p1_split_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import hooked_roots, star_groups
-from tabulon.llm.splits import choose_counts, split_rows, tied_rows, with_root
+from tabulon.llm.splits import _closest_subset, choose_counts, split_rows, tied_rows, with_root
 from tabulon.workspace import Workspace
 
 LINK = "a string, b string, id_name string, root string, lo string"
@@ -59,10 +59,40 @@ def test_counts_hit_the_proportions():
     assert sum(choose_counts({1000: 1})[1000]) == 1
 
 
-def test_coarse_bitset_stays_near():
-    counts = choose_counts({997: 10, 13: 500, 1: 40}, bits=256)
-    total = 9970 + 6500 + 40
-    assert abs(sum(s * c[1] for s, c in counts.items()) - total / 10) < total * 0.02
+def test_the_closest_subset_equals_brute_force():
+    import itertools
+
+    rng = random.Random(11)
+    for _ in range(300):
+        steps = [(rng.choice([3, 6, 9, 14, 35, 70, 101]), rng.randrange(1, 4)) for _ in range(rng.randrange(1, 9))]
+        aim = rng.randrange(1, 250)
+        totals = [sum(s * n for s, n in c) for k in range(len(steps) + 1) for c in itertools.combinations(steps, k)]
+        taken = _closest_subset(steps, aim, rng.choice([1, 8, 1 << 20]))
+        assert abs(sum(s * n for s, n in taken) - aim) == min(abs(t - aim) for t in totals if t <= 2 * aim)
+        left = list(steps)
+        for t in taken:
+            left.remove(t)
+
+
+def test_a_hundred_thousand_sizes():
+    import time
+
+    rng = random.Random(12)
+    sizes = {s: 1 + s % 3 for s in range(1, 100_001)}
+    labels = {s: (rng.random() * s * m * 0.6, s * m * 0.9) for s, m in sizes.items()}
+    began = time.time()
+    counts = choose_counts(sizes, labels=labels)
+    total = sum(s * m for s, m in sizes.items())
+    assert time.time() - began < 60
+    assert all(sum(s * c[k] for s, c in counts.items()) == round(total * 0.1) for k in (1, 2))
+
+
+def test_small_bitsets_change_nothing():
+    sizes = {997: 10, 13: 500, 1: 40}
+    total = sum(s * m for s, m in sizes.items())
+    for bits in (8, 256, 1 << 20):
+        counts = choose_counts(sizes, bits=bits)
+        assert all(sum(s * c[k] for s, c in counts.items()) == round(total / 10) for k in (1, 2))
 
 
 ROWS = "row long, written string, system string, holder string, label int, size int, split string, group_id string"
@@ -85,7 +115,7 @@ def test_splits_are_whole_and_balanced(spark):
     data = [(f"S{min(rng.randrange(60), rng.randrange(60))}", f"h{rng.randrange(900)}" if rng.random() < 0.15 else None, rng.choice([0, 0, 0, 1, None])) for _ in range(1200)]
     data += [(None, None, 1)] * 40
     rows = rows_of(spark, data)
-    out = split_rows(spark, rows, "row")
+    out = split_rows(spark, rows, "row").drop("written")
     got = {r["row"]: (r["group_id"], r["split"]) for r in out.collect()}
     assert len(got) == len(data) and len(set(got.values())) == len({g for g, _ in got.values()})
     n = len(data)
