@@ -222,3 +222,15 @@ def p1_split_report(spark: SparkSession, folder: str) -> DataFrame:
     by = placed.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg("label").alias("label_share"))
     total = placed.agg(F.count(F.lit(1)).alias("all_rows"))
     return by.crossJoin(F.broadcast(total)).select("split", "rows", F.round(F.col("rows") / F.col("all_rows"), 6).alias("row_share"), F.round("label_share", 6).alias("label_share"))
+
+
+def p1_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """By split: whether its number of rows is its share of all rows to within a row; and the number (0) of its groups that have rows elsewhere."""
+    ws = Workspace(spark, "invariants")
+    placed = ws.stage(p1_splits(spark, folder))
+    total = placed.count()
+    torn = placed.groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low != high").select("group_id")
+    elsewhere = placed.join(torn, "group_id").groupBy("split").agg(F.count_distinct("group_id").alias("torn"))
+    share = spark.createDataFrame([(n, round(total * s)) for n, s in PROPORTIONS], "split string, wanted bigint")
+    by = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(share), "split").join(elsewhere, "split", "left")  # one row a split
+    return by.select("split", (F.abs(F.col("n") - F.col("wanted")) <= 1).alias("share_met"), F.coalesce("torn", F.lit(0)).alias("torn"))

@@ -31,14 +31,22 @@ _COLUMNS = {
 }
 _FILLED = " + ".join([f"({c} IS NOT NULL)::INT" for c in _COLUMNS["text"]] + [f"({c} IS NOT NULL AND NOT isnan({c}))::INT" for c in _COLUMNS["real"]])
 
-_SURVIVORS = f"""
+_GROUPED = f"""
 WITH v AS (SELECT *, {_FILLED} AS filled, {_VALUE} AS k FROM dft_materials),
 l AS (SELECT legacy_id, min(candidate_id) AS c FROM structure_catalog WHERE legacy_id NOT IN (SELECT candidate_id FROM structure_catalog) GROUP BY 1 HAVING count(DISTINCT candidate_id) = 1),
-g AS (SELECT v.*, coalesce(l.c, k) AS whole, EXISTS (SELECT 1 FROM topology_labels t WHERE t.result_name = v.result_name AND t.analysis_completed) AS done FROM v LEFT JOIN l ON l.legacy_id = k WHERE k IS NOT NULL),
+g AS (SELECT v.*, coalesce(l.c, k) AS whole, EXISTS (SELECT 1 FROM topology_labels t WHERE t.result_name = v.result_name AND t.analysis_completed) AS done FROM v LEFT JOIN l ON l.legacy_id = k WHERE k IS NOT NULL)"""
+
+_SURVIVORS = f"""{_GROUPED},
 r AS (SELECT whole, dft_row_id, row_number() OVER (PARTITION BY whole ORDER BY done DESC, filled DESC, parsed_at DESC NULLS LAST, dft_row_id) AS n, count(*) OVER (PARTITION BY whole) AS m FROM g)
 SELECT whole AS candidate_id, dft_row_id FROM r WHERE n = 1 AND m > 1
 """
 
+_RECORD = [c for c in _COLUMNS["text"] if c not in ("candidate_id", "dft_row_id")]
+_FILLED_BY_GROUP = (
+    _GROUPED + ", w AS (SELECT whole, count(*) AS m, " + ", ".join([f"max({c}::VARCHAR) AS {c}" for c in _RECORD] + [f"max(CASE WHEN NOT isnan({c}) THEN {c} END) AS {c}" for c in _COLUMNS["real"]])
+    + " FROM g GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS groups, sum(m)::BIGINT AS rows, " + ", ".join(f"count({c}) AS {c}" for c in [*_RECORD, *_COLUMNS["real"]]) + " FROM w"
+)
+
 
 def _composition(name: str, source: str) -> str:
     """CTEs giving (text, key) of every formula text of ``source``."""
@@ -70,6 +78,10 @@ SELECT dft_row_id, min(candidate_id) AS candidate_id FROM m GROUP BY 1 HAVING co
 )
 
 ORACLE: dict[str, str] = {
+    "p1_invariants": "SELECT unnest(['train', 'validation', 'test']) AS split, TRUE AS share_met, 0::BIGINT AS torn",
+    "p4_filled": _FILLED_BY_GROUP,
+    "p7_invariants": "SELECT window_name, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS cut_small, 0::BIGINT AS gaps, 0::BIGINT AS over_limit FROM context_windows",
+    "p8_invariants": "SELECT source, TRUE AS share_met, 0::BIGINT AS over_repeats, 0::BIGINT AS strangers FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
     "p1_found": _SYSTEMS,
     "p4_found": _SURVIVORS,
     "p5_found": _LINKED,

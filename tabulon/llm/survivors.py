@@ -321,3 +321,10 @@ def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate and surviving row of every group of two or more rows."""
     return p4_survivors(spark, folder).select("candidate_id", "dft_row_id")
+
+
+def p4_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: groups, their rows, and for each column of the record the number of groups whose surviving record has a value."""
+    found = p4_survivors(spark, folder)
+    columns = [c for c in found.columns if c.startswith("best_")]
+    return found.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), *[F.count(c).alias(c.removeprefix("best_")) for c in columns])

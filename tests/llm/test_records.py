@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.linkage import expectation_maximisation, link_records, posterior
 from tabulon.llm.mixing import min_cost_flow, mixed, plan_mix
-from tabulon.llm.packing import limits, pack, packed, pieces_of
+from tabulon.llm.packing import limits_of, pack, packed, pieces_of
 from tabulon.llm.survivors import align, consensus_of, consensus_values, distance, profile_of, single, surviving_records, tokens_of
 from tabulon.llm.tokens import counter, sized, turns
 
@@ -143,13 +143,42 @@ def test_a_number_that_a_third_of_all_records_has(spark):
 def test_packing_is_whole_and_tight():
     rng = random.Random(8)
     t = np.array([rng.randrange(1, 400) for _ in range(900)] + [512] * 5)
-    loss = np.array([rng.randrange(x + 1) for x in t])
-    box = pack(t, loss, limits(512))
+    loss = np.array([rng.randrange(x // 2 + 1) for x in t])
+    box = pack(t, loss, (512, 32, 400))
     used, n = np.bincount(box, weights=t), np.bincount(box)
-    assert used.max() <= 512 and n.max() <= limits(512)[1] and n.min() > 0
+    assert used.max() <= 512 and n.max() <= 32 and n.min() > 0 and np.bincount(box, weights=loss).max() <= 400
     assert len(used) <= -(-t.sum() // 512) * 1.02 + 1
-    assert (np.bincount(pack(np.ones(100, int), np.zeros(100, int), (1000, 8, 1000))) <= 8).all()
-    assert len(pack(np.array([], int), np.array([], int), limits(512))) == 0
+    assert len(pack(np.array([], int), np.array([], int), (512, 32, 400))) == 0
+
+
+def test_each_limit_binds_alone():
+    rng = random.Random(9)
+    few, none = np.array([rng.randrange(1, 9) for _ in range(800)]), np.zeros(800, int)
+    by_segments = pack(few, none, (1000, 8, 900))
+    assert (np.bincount(by_segments) <= 8).all() and by_segments.max() + 1 == 100  # 800 pieces, 8 each
+    t = np.array([rng.randrange(20, 60) for _ in range(600)])
+    box = pack(t, t, (1000, 100, 300))  # all tokens bear loss
+    held = np.bincount(box, weights=t)
+    assert held.max() <= 300 and len(held) <= -(-t.sum() // 300) * 1.05
+    mixed_loss = np.where(np.arange(600) % 2, t, 0)
+    box = pack(t, mixed_loss, (1000, 100, 300))  # pieces without loss fill what loss leaves
+    assert np.bincount(box, weights=mixed_loss).max() <= 300 and np.bincount(box, weights=t).max() <= 1000
+    assert box.max() + 1 <= -(-mixed_loss.sum() // 300) * 1.1
+    box = pack(np.array([100, 90, 10, 5]), np.array([100, 20, 0, 0]), (110, 9, 50))
+    assert box[0] == box[2] and box[1] == box[3] != box[0]  # a piece over the limit on loss is alone but for pieces without loss
+
+
+def test_sharded_packing_costs_little(spark):
+    rng = random.Random(10)
+    rows = [("w", 512, i, 0, 0, t, rng.randrange(t // 2, t + 1)) for i in range(3000) for t in [min(512, int(rng.expovariate(1 / 120)) + 1)]]
+    pieces = spark.createDataFrame(rows, "window_name string, capacity int, doc_id long, piece int, first_token int, tokens int, loss_tokens int")
+    limit = limits_of(pieces)
+    assert limit["w"][0] == 512 > limit["w"][2] and 2 <= limit["w"][1] < 20
+    whole = packed(spark, pieces, limit, shard=10**6).select("container_id").distinct().count()
+    parts = packed(spark, pieces, limit, shard=300)
+    assert parts.count() == 3000 and parts.select("container_id").distinct().count() <= whole * 1.02
+    per = parts.groupBy("container_id").agg(F.sum("tokens"), F.count("doc_id"), F.sum("loss_tokens"), F.max("loss_tokens")).collect()
+    assert all(t <= 512 and n <= limit["w"][1] and (el <= limit["w"][2] or most > limit["w"][2]) for _, t, n, el, most in per)
 
 
 def test_pieces_cut_only_what_is_too_large(spark):
