@@ -179,14 +179,14 @@ def p8_share_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
-    """By listed source with documents: whether its share of the mix is its target among these sources to within a hundredth of it or 0.002, and the numbers (both 0) of records used too often and of documents not of the source."""
+    """By listed source with documents: whether its tokens are its share of the mix, among these sources, to within a hundredth or the largest record of the mix, and the numbers (both 0) of records used too often and of documents not of the source."""
     targets, docs = table(spark, folder, "mix_targets"), table(spark, folder, "documents")
     mix = p8_mix(spark, folder)
-    by = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.max("uses").alias("most"), F.count(F.lit(1)).alias("records"))
+    by = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.max("uses").alias("most"), F.max("tokens").alias("largest"))
     there = docs.where("text != ''").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
     listed = targets.join(there, "source").join(by, "source", "left")
-    whole = listed.agg(F.sum("t").alias("all_t"), F.sum("target_share").alias("all_share"))
+    whole = listed.agg(F.sum("t").alias("all_t"), F.sum("target_share").alias("all_share"), F.max("largest").alias("longest"))
     own = mix.join(docs.select("doc_id", F.col("source").alias("home")), "doc_id").where("home != source").groupBy("source").agg(F.count(F.lit(1)).alias("strangers"))
-    got, want = F.col("t") / F.col("all_t"), F.col("target_share") / F.col("all_share")
-    met = F.abs(got - want) <= F.greatest(want / 100, F.lit(0.002))
+    quota = F.col("all_t") * F.col("target_share") / F.col("all_share")
+    met = F.abs(F.coalesce("t", F.lit(0)) - quota) <= F.greatest(quota / 100, F.col("longest"))
     return listed.crossJoin(F.broadcast(whole)).join(own, "source", "left").select("source", F.coalesce(met, F.lit(False)).alias("share_met"), F.when(F.col("most") > F.col("max_repeats"), 1).otherwise(0).cast("bigint").alias("over_repeats"), F.coalesce("strangers", F.lit(0)).alias("strangers"))

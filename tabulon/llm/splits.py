@@ -167,7 +167,7 @@ def split_rows(spark: SparkSession, rows: DataFrame, row_id: str, proportions=PR
     most about sqrt(2 rows) of them, are all that reaches the driver. Empty input gives no rows.
     """
     ws = Workspace(spark, "splits")
-    keyed, roots = tied_rows(ws, rows, row_id)
+    keyed, roots = tied_rows(ws, ws.stage(rows), row_id)
     rooted = ws.stage(with_root(keyed, roots).select(row_id, "written", "label", F.coalesce("root", F.concat(F.lit("2"), F.col(row_id).cast("string"))).alias("group_id")))
     groups = rooted.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") == 1).alias("hits"), F.count_if(F.col("label").isin(0, 1)).alias("known"))
     groups = ws.stage(groups.withColumn("ones", F.coalesce(F.try_divide("hits", "known"), F.lit(-1.0))))
