@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,21 @@ def neighbour_pairs(sites: DataFrame, id_: str) -> DataFrame:
     return met.select(id_, "i", "j", "image", F.sqrt(d2).alias("distance"))
 
 
-def least_distance(sites: DataFrame, id_: str) -> DataFrame:
-    return neighbour_pairs(sites, id_).groupBy(id_).agg(F.min("distance").alias("least_distance"))
+def least_distance(df: DataFrame, id_: str, structure: str) -> DataFrame:
+    """(id, least_distance) of each structure: over its pairs of sites, and a site and its own images, within one row.
+
+    Nothing is shuffled. A pair's distance is the same from either site, so only i <= j are looked at.
+    """
+    p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
+    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
+    shifts = F.transform(images(), lambda i: cartesian(i.cast("array<double>"), F.col("m")))
+    rows = rows.select(id_, shifts.alias("shifts"), F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
+    far = F.filter("shifts", lambda s: (s[0] != 0) | (s[1] != 0) | (s[2] != 0))
+    d2 = lambda a, b, s: sum(((b[k] + s[k] - a[k]) ** 2 for k in range(3)), F.lit(0.0))
+    between = lambda a, rest: F.array_min(F.transform(rest, lambda b: F.array_min(F.transform("shifts", lambda s: d2(a, b, s)))))
+    others = F.array_min(F.transform("x", lambda a, i: between(a, F.slice(F.col("x"), i + 2, F.size("x")))))
+    own = F.array_min(F.transform(far, lambda s: s[0] ** 2 + s[1] ** 2 + s[2] ** 2))
+    return rows.where(F.size("x") > 0).select(id_, F.sqrt(F.least(others, own)).alias("least_distance"))
 
 
 def nearest_neighbours(pairs: DataFrame, id_: str, k: int, tolerance: float = 0.01) -> DataFrame:
@@ -147,3 +162,158 @@ def one_hot(index: Column, size: int) -> Column:
 def argmax(values: Column) -> Column:
     """Position from 0 of the first greatest value."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def plane_spacings(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> list[Column]:
+    """Distances of neighbouring lattice planes along each axis: the volume over the area of the other two vectors."""
+    v = volume(a, b, c, alpha, beta, gamma)
+    return [v / (b * c * F.sin(F.radians(alpha))), v / (a * c * F.sin(F.radians(beta))), v / (a * b * F.sin(F.radians(gamma)))]
+
+
+def effective_radius(*parameters: Column) -> Column:
+    """The radius of neighbour graphs: the least plane spacing and a hundredth, whatever radius is asked for."""
+    return F.least(*plane_spacings(*parameters)) + 0.01
+
+
+def radius_graph(pairs: DataFrame, id_: str, radius: Column, most: int | None = None) -> DataFrame:
+    """Pairs (id, i, j, image, distance) within the radius; with ``most`` only the nearest images of each ordered pair of sites."""
+    near = pairs.where(F.col("distance") <= radius)
+    if most is None:
+        return near
+    order = Window.partitionBy(id_, "i", "j").orderBy("distance", F.array_join(F.col("image").cast("array<string>"), ","))  # at most 27 images a pair
+    return near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+def nearest_images(pairs: DataFrame, id_: str) -> DataFrame:
+    """(id, i, j, distance, image) of the nearest image of each ordered pair; of equals the first image."""
+    best = F.min_by(F.struct("distance", "image"), F.struct(F.round("distance", 9).alias("d"), F.col("image")))
+    return pairs.groupBy(id_, "i", "j").agg(best.alias("__b")).select(id_, "i", "j", "__b.distance", "__b.image")
+
+
+def edge_distances(edges: DataFrame, sites: DataFrame, id_: str) -> DataFrame:
+    """edges (id, i, j, image) with the distance and Cartesian vector from site i to that image of site j; edges of unknown sites vanish."""
+    a = sites.select(id_, F.col("site").alias("i"), F.col("x").alias("__xi"), "m")
+    b = sites.select(id_, F.col("site").alias("j"), F.col("x").alias("__xj"))
+    shift = cartesian(F.col("image").cast("array<double>"), F.col("m"))
+    vector = F.array(*[F.col("__xj")[k] + shift[k] - F.col("__xi")[k] for k in range(3)])
+    met = edges.join(a, [id_, "i"]).join(b, [id_, "j"]).withColumn("vector", vector)
+    return met.withColumn("distance", F.sqrt(sum((F.col("vector")[k] ** 2 for k in range(3)), F.lit(0.0)))).drop("__xi", "__xj", "m")
+
+
+def full_edges(df: DataFrame, id_: str, size: Column) -> DataFrame:
+    """(id, i, j) for every ordered pair of different nodes 0 .. size - 1 of each graph, made within its row."""
+    nodes = F.sequence(F.lit(0), size - 1)
+    pairs = F.flatten(F.transform(nodes, lambda i: F.transform(F.filter(nodes, lambda j: j != i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    return df.where(size > 0).select(id_, F.explode(pairs).alias("e")).select(id_, "e.*")
+
+
+def both_ways(edges: DataFrame, id_: str) -> DataFrame:
+    """Each bond (id, i, j, image) and its reverse with the image turned round."""
+    back = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.transform("image", lambda x: -x).alias("image"))
+    return edges.select(id_, F.explode(F.array(F.struct("i", "j", "image"), back)).alias("e")).select(id_, "e.*")
+
+
+def scaled_lattice(lengths: list[Column], angles: list[Column], atoms: Column) -> Column:
+    """Lengths over the cube root of the number of atoms, then the angles."""
+    return F.array(*[x / F.pow(atoms.cast("double"), F.lit(1 / 3)) for x in lengths], *angles)
+
+
+def merged_sites(df: DataFrame, id_: str, coords: Column, tolerance: float = 0.25) -> DataFrame:
+    """(id, kept): places of the sites that stay when each one within the tolerance of an earlier kept one, along every
+    axis and under periodic bounds, is left out. Coordinates are an array of triples; a fold within the row."""
+    near = lambda p, q: F.greatest(*[periodic_gap(p[k], q[k]) for k in range(3)]) < tolerance
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<array<double>>").alias("at"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        new = ~F.exists(acc["at"], lambda q: near(p, q))
+        return F.struct(
+            F.when(new, F.concat(acc["kept"], F.array(acc["n"]))).otherwise(acc["kept"]).alias("kept"), F.when(new, F.concat(acc["at"], F.array(p))).otherwise(acc["at"]).alias("at"), (acc["n"] + 1).alias("n")
+        )
+
+    return df.select(id_, F.aggregate(coords, start, step, lambda s: s["kept"]).alias("kept"))
+
+
+def schedule(spark: SparkSession, kind: str, steps: int, first: float, last: float) -> DataFrame:
+    """(t, beta) of a linear, quadratic or sigmoid schedule from first to last; t from 1."""
+    x = (F.col("t") - 1) / F.lit(float(max(1, steps - 1)))
+    forms = {"linear": first + x * (last - first), "quadratic": (first**0.5 + x * (last**0.5 - first**0.5)) ** 2, "sigmoid": 1 / (1 + F.exp(6 - 12 * x)) * (last - first) + first}
+    if kind not in forms:
+        raise ValueError(f"no schedule {kind}; there are {', '.join(forms)}")
+    return spark.range(1, steps + 1).select(F.col("id").alias("t")).withColumn("beta", forms[kind])
+
+
+def sigma_norm(sigmas: DataFrame, samples: int = 2000, terms: int = 10) -> DataFrame:
+    """(t, norm): the mean squared score of the wrapped normal at each sigma, over evenly spaced quantiles of it rather than
+    random draws, so that runs agree. ``sigmas`` holds t and sigma."""
+    u = (F.col("k") + 0.5) / samples
+    # a normal quantile by a rational approximation good to 4.5e-4
+    tail = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+    z = tail - (2.515517 + 0.802853 * tail + 0.010328 * tail**2) / (1 + 1.432788 * tail + 0.189269 * tail**2 + 0.001308 * tail**3)
+    rows = sigmas.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    x = F.pmod(F.when(u < 0.5, -z).otherwise(z) * F.col("sigma"), F.lit(1.0))
+    return rows.groupBy("t").agg(F.avg(wrapped_score(x, F.col("sigma"), terms) ** 2).alias("norm"))
+
+
+def block_product(vector: Column, blocks: list[tuple[int, Column]]) -> Column:
+    """A row vector times a block-diagonal matrix; ``blocks``: size and matrix (an array of rows) of each block, in order."""
+    out, at = [], 0
+    for size, m in blocks:
+        for j in range(size):
+            out.append(sum((vector[at + i] * m[i][j] for i in range(size)), F.lit(0.0)))
+        at += size
+    return F.array(*out)
+
+
+def lattice_mask(group: Column) -> tuple[Column, Column]:
+    """Which of the six lattice coefficients are free for a space group (1 or 0), and the constants that are added."""
+    ones = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    system = crystal_system(group)
+    mask = (
+        F.when(system == "triclinic", ones(1, 1, 1, 1, 1, 1)).when(system == "monoclinic", ones(0, 1, 0, 1, 1, 1)).when(system == "orthorhombic", ones(0, 0, 0, 1, 1, 1))
+        .when(system.isin("tetragonal", "trigonal", "hexagonal"), ones(0, 0, 0, 0, 1, 1)).when(system == "cubic", ones(0, 0, 0, 0, 0, 1))
+    )
+    turned = F.when(system.isin("trigonal", "hexagonal"), F.lit(-math.log(3) / 4)).otherwise(0.0)
+    return mask, F.when(mask.isNotNull(), F.array(turned, *[F.lit(0.0)] * 5))
+
+
+#: Centring letters of space group symbols by number.
+CENTRINGS = ("P", "I", "F", "A", "B", "C", "R")
+
+
+def centring(symbol: Column) -> Column:
+    """The number of a space group symbol's centring letter; null for other symbols."""
+    place = F.array_position(F.array(*[F.lit(x) for x in CENTRINGS]), F.upper(F.substring(F.trim(symbol), 1, 1)))
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
+def lattice_logarithm(df: DataFrame, id_: str, matrix: str) -> DataFrame:
+    """(id, k, back): six coefficients of the matrix logarithm of the symmetric stretch of each cell in an orthogonal basis,
+    and the stretch found again from them. The stretch is the root of M M^T, so its logarithm is half that of M M^T.
+
+    Basis: the three off-diagonal pairs, then diag(1, -1, 0), diag(1, 1, -2) and the identity. Flat cells give nulls.
+    """
+    import numpy as np
+    import pandas as pd
+
+    pair = lambda i, j: np.array([[float((r, c) in ((i, j), (j, i))) for c in range(3)] for r in range(3)])
+    basis = [pair(0, 1), pair(0, 2), pair(1, 2), np.diag([1.0, -1, 0]), np.diag([1.0, 1, -2]), np.eye(3)]
+
+    def run(batches):
+        for pdf in batches:
+            ks, backs = [], []
+            for m in pdf[matrix]:
+                m = np.array([list(r) for r in m], float)
+                values, vectors = np.linalg.eigh(m @ m.T)
+                if not np.isfinite(values).all() or values.min() <= 1e-12:
+                    ks.append(None)
+                    backs.append(None)
+                    continue
+                s = (vectors * (0.5 * np.log(values))) @ vectors.T
+                k = [float((s * b).sum() / (b * b).sum()) for b in basis]
+                values, vectors = np.linalg.eigh(sum(x * b for x, b in zip(k, basis)))
+                ks.append(k)
+                backs.append(((vectors * np.exp(values)) @ vectors.T).ravel().tolist())
+            yield pd.DataFrame({id_: pdf[id_], "k": ks, "back": backs})
+
+    kind = df.schema[id_].dataType.simpleString()
+    return df.where(F.col(matrix).isNotNull()).select(id_, matrix).mapInPandas(run, f"{id_} {kind}, k array<double>, back array<double>")

@@ -126,7 +126,7 @@ def lattice_volume(spark, d):
 
 
 def pbc_min_distance(spark, d):
-    return geometry.least_distance(_sites(spark, d), "snapshot_row_id").select("snapshot_row_id", F.round("least_distance", 5).alias("least_distance"))
+    return geometry.least_distance(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure").select("snapshot_row_id", F.round("least_distance", 5).alias("least_distance"))
 
 
 def pbc_neighbours(spark, d):

@@ -170,7 +170,7 @@ def test_sampling(spark):
 def test_geometry(spark):
     cell = "struct<lattice:struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>,sites:array<struct<element:string,frac_coords:array<double>>>>"
     frame = spark.createDataFrame([(1, ((3.0, 3.0, 3.0, 90.0, 90.0, 90.0), [("A", [0.0, 0.0, 0.0])])), (2, ((4.0, 4.0, 4.0, 90.0, 90.0, 90.0), [("A", [0.0, 0.0, 0.0]), ("B", [0.9, 0.0, 0.0])])), (3, None)], f"c int, s {cell}")
-    near = {r["c"]: round(r["least_distance"], 6) for r in geometry.least_distance(geometry.site_table(frame, "c", "s"), "c").collect()}
+    near = {r["c"]: round(r["least_distance"], 6) for r in geometry.least_distance(frame, "c", "s").collect()}
     assert near == {1: 3.0, 2: 0.4}
     assert spark.range(1).select(geometry.wrap(F.lit(-0.25)), geometry.periodic_gap(F.lit(0.95), F.lit(0.05))).first()[0] == 0.75
     z = geometry.scaled(spark.createDataFrame([(1.0, 5.0), (math.nan, 5.0), (3.0, 5.0)], "x double, c double"), ["x", "c"]).orderBy("x").collect()
