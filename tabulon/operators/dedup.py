@@ -59,17 +59,23 @@ def leader_clusters(df: DataFrame, block: str, id_: str, vector: str, similarity
     return grouped.unionByName(df.where(~whole).select(id_, F.col(id_).alias("leader")))
 
 
-def novelty(candidates: DataFrame, references: DataFrame, block: str, same: Column, id_: str, ref_id: str, valid: Column) -> DataFrame:
-    """Per candidate: references of its block, matched ids, status and whether it is new.
+def novelty_status(valid: Column, references: Column, matches: Column) -> Column:
+    """No references: composition_novel; some, none the same: structure_novel; else matched; invalid candidates aren't evaluated."""
+    return F.when(~F.coalesce(valid, F.lit(False)), "not_evaluated_invalid").when(F.coalesce(references, F.lit(0)) == 0, "composition_novel").when(F.coalesce(matches, F.lit(0)) == 0, "structure_novel").otherwise("matched")
 
-    ``same`` tests a pair in a block (columns c_… and r_…). No references: composition_novel; some, none the same:
-    structure_novel; else matched; invalid candidates aren't evaluated.
+
+def novelty(candidates: DataFrame, references: DataFrame, block: str, keys: list[tuple[str, str]], id_: str, ref_id: str, valid: Column) -> DataFrame:
+    """Per candidate: references of its block, matched ids, status (novelty_status) and whether it is new.
+
+    A reference is the same if the candidate's and its own column of each of ``keys`` agree. References are gathered by
+    block and keys first, so each candidate meets one row, however many references a block has.
     """
-    c = candidates.select(*[F.col(x).alias(f"c_{x}") for x in candidates.columns], F.coalesce(valid, F.lit(False)).alias("__valid"))
-    r = references.select(*[F.col(x).alias(f"r_{x}") for x in references.columns])
-    counts = r.groupBy(f"r_{block}").agg(F.count(F.lit(1)).alias("reference_count"))
-    hits = c.where("__valid").join(r, c[f"c_{block}"] == r[f"r_{block}"]).where(same).groupBy(f"c_{id_}").agg(F.array_join(F.array_sort(F.collect_set(f"r_{ref_id}")), ";").alias("matched_ids"))
-    done = c.join(counts, c[f"c_{block}"] == counts[f"r_{block}"], "left").drop(f"r_{block}").join(hits, f"c_{id_}", "left")
-    n = F.coalesce("reference_count", F.lit(0))
-    status = F.when(~F.col("__valid"), "not_evaluated_invalid").when(n == 0, "composition_novel").when(F.col("matched_ids").isNull(), "structure_novel").otherwise("matched")
-    return done.select(F.col(f"c_{id_}").alias(id_), n.cast("bigint").alias("reference_count"), F.coalesce("matched_ids", F.lit("")).alias("matched_ids"), status.alias("novelty_status")).withColumn("is_novel", F.when(F.col("novelty_status") != "not_evaluated_invalid", F.col("novelty_status") != "matched"))
+    mine = [k for k, _ in keys]
+    counts = references.groupBy(block).agg(F.count(F.lit(1)).alias("__refs"))
+    gathered = references.groupBy(block, *[F.col(r).alias(c) for c, r in keys]).agg(F.array_sort(F.collect_set(ref_id)).alias("__ids"))
+    c = candidates.withColumn("__valid", F.coalesce(valid, F.lit(False))).select(id_, block, *mine, "__valid")
+    done = c.join(counts, block, "left").join(gathered, [block, *mine], "left")
+    ids = F.when(F.col("__valid"), F.col("__ids"))
+    status = novelty_status(F.col("__valid"), F.col("__refs"), F.size(ids))
+    out = done.select(id_, F.coalesce("__refs", F.lit(0)).cast("bigint").alias("reference_count"), F.coalesce(F.array_join(ids, ";"), F.lit("")).alias("matched_ids"), status.alias("novelty_status"))
+    return out.withColumn("is_novel", F.when(F.col("novelty_status") != "not_evaluated_invalid", F.col("novelty_status") != "matched"))

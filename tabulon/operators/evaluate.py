@@ -75,13 +75,16 @@ def ranking_metrics(spark: SparkSession, df: DataFrame, score: str, label: str)
 def enrichment_at(df: DataFrame, score: str, label: str, id_: str, share: float = 0.2) -> DataFrame:
     """One row: number and precision of the top share of rows (at least one), base rate and enrichment. Ties go by id.
 
-    The cut is found from a count and a distributed top-k; the ranked part is the share asked for.
+    Rows are numbered over range partitions (running_total), as the share asked for grows with the data.
     """
+    from tabulon.operators.skew import running_total
+    from tabulon.workspace import Workspace
+
     known = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1)).select(id_, score, label)
     n, hits = known.agg(F.count(F.lit(1)), F.sum(label)).first()
     k = max(1, -(-n * int(round(share * 1_000_000)) // 1_000_000)) if n else 0
-    top = known.orderBy(F.col(score).desc(), id_).limit(k)
-    return top.agg(F.count(F.lit(1)).alias("selected"), F.avg(label).alias("p")).select(
+    ranked = running_total(Workspace(df.sparkSession, "enrichment"), known, [], [F.col(score).desc(), id_], F.lit(1), "__rank")
+    return ranked.where(F.col("__rank") <= k).agg(F.count(F.lit(1)).alias("selected"), F.avg(label).alias("p")).select(
         "selected", F.round("p", 6).alias("precision"), F.lit(round(hits / n, 6) if n else None).cast("double").alias("base_rate"), F.round(F.try_divide(F.col("p"), F.lit(hits / n if n and hits else 0.0)), 6).alias("enrichment")
     )
 
@@ -109,6 +112,63 @@ def bootstrap_ci(df: DataFrame, group: str, score: str, label: str, draws: int =
     return done.agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("e", 0.025), 6).alias("ci_low"), F.round(F.percentile("e", 0.975), 6).alias("ci_high"))
 
 
+def bootstrap_top_ci(df: DataFrame, group: str, score: str, label: str, share: float = 0.2, draws: int = 2000, seed: int = 13, digits: int = 3) -> DataFrame:
+    """One row: 2.5 and 97.5 percentiles of the enrichment of the top share of rows (at least one) over resampled groups.
+
+    Groups are drawn as by ``bootstrap_ci``. In each draw the best ceil(share * n) of its rows are taken; scores are told
+    apart to ``digits`` digits, and of rows that tie at the cut a proportional part counts. So what is resampled are
+    counts by group and score, at most 10 ** digits + 1 a group, and each draw ranks as many scores, not rows.
+    Draws without positives are skipped.
+    """
+    known = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1))
+    cells = known.groupBy(group, F.round(score, digits).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
+    groups = known.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)  # one row a group
+    numbered = cells.join(groups, group).select("g", "s", "n", "p")
+    count = groups.count()
+    a, c, m = LCG
+    slots = df.sparkSession.range(draws * count).select((F.col("id") / count).cast("bigint").alias("draw"), ((((F.col("id") + seed) * a + c) % m) * 48271 % 2147483647 % max(1, count)).cast("int").alias("g"))
+    times = slots.groupBy("draw", "g").agg(F.count(F.lit(1)).alias("k"))
+    per = times.join(numbered, "g").groupBy("draw", "s").agg(F.sum(F.col("k") * F.col("n")).alias("n"), F.sum(F.col("k") * F.col("p")).alias("p"))
+    down, whole = Window.partitionBy("draw").orderBy(F.col("s").desc()), Window.partitionBy("draw")  # at most 10 ** digits + 1 rows
+    ranked = per.withColumns({"upto": F.sum("n").over(down), "all_n": F.sum("n").over(whole), "all_p": F.sum("p").over(whole)})
+    k = F.greatest(F.lit(1), F.ceil(F.col("all_n") * share))
+    part = F.least(F.greatest(k - (F.col("upto") - F.col("n")), F.lit(0)), F.col("n")) / F.col("n")
+    by = ranked.withColumns({"k": k, "hit": F.col("p") * part}).groupBy("draw").agg(F.sum("hit").alias("hit"), F.max("k").alias("k"), F.max("all_n").alias("all_n"), F.max("all_p").alias("all_p"))
+    value = F.try_divide(F.col("hit") / F.col("k"), F.try_divide(F.col("all_p").cast("double"), F.col("all_n")))
+    done = by.select(value.alias("e")).where("e IS NOT NULL")
+    return done.agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("e", 0.025), 6).alias("ci_low"), F.round(F.percentile("e", 0.975), 6).alias("ci_high"))
+
+
+def stratified_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """(group, rows, positives, fold): all rows of a group in one fold, shares of labels alike over folds.
+
+    There are no more folds than groups with a positive, or with a negative, row (at least two). Groups are placed by
+    falling spread of their label counts, then rows, then name, each where the labels' shares of the folds then vary
+    least; of equals in the fold with fewest rows. The rule is sequential over groups, of which one task holds the two
+    counts each; rows are never gathered.
+    """
+    import numpy as np
+    import pandas as pd
+
+    by = df.where(F.col(group).isNotNull() & F.col(label).isin(0, 1)).groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("bigint").alias("positives"))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = pdf["positives"].to_numpy(), (pdf["rows"] - pdf["positives"]).to_numpy()
+        k = max(2, min(folds, int((pos > 0).sum()), int((neg > 0).sum())))
+        counts, total = np.zeros((k, 2)), np.maximum(np.array([pos.sum(), neg.sum()], float), 1)
+        order = sorted(range(len(pdf)), key=lambda i: (-abs(int(pos[i]) - int(neg[i])), -int(pdf["rows"].iloc[i]), str(pdf[group].iloc[i])))
+        fold = np.zeros(len(pdf), np.int32)
+        for i in order:
+            add = np.array([pos[i], neg[i]])
+            tried = [((((counts + add * (np.arange(k) == f)[:, None]) / total).std(axis=0)).mean().round(12), counts[f].sum(), f) for f in range(k)]
+            fold[i] = min(tried)[2]
+            counts[fold[i]] += add
+        return pdf.drop(columns="all").assign(fold=fold)
+
+    kind = by.schema[group].dataType.simpleString()
+    return by.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(place, f"{group} {kind}, rows bigint, positives bigint, fold int")
+
+
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
     """(group, rows, positives, fold): groups by falling positives and rows, dealt back and forth over the folds.
 

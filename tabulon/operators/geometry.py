@@ -48,15 +48,20 @@ def images() -> Column:
     return F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
 
 
-def neighbour_pairs(sites: DataFrame, id_: str) -> DataFrame:
-    """(id, i, j, image, distance) of all site pairs and images of a cell; a site meets its own images, not itself."""
-    a = sites.select(id_, F.col("site").alias("i"), F.col("x").alias("xi"), "m")
-    b = sites.select(id_, F.col("site").alias("j"), F.col("x").alias("xj"))
-    met = a.join(b, id_).withColumn("image", F.explode(images()))
-    met = met.where((F.col("i") != F.col("j")) | (F.col("image")[0] != 0) | (F.col("image")[1] != 0) | (F.col("image")[2] != 0))
-    shift = cartesian(F.col("image").cast("array<double>"), F.col("m"))
-    d2 = sum(((F.col("xj")[k] + shift[k] - F.col("xi")[k]) ** 2 for k in range(3)), F.lit(0.0))
-    return met.select(id_, "i", "j", "image", F.sqrt(d2).alias("distance"))
+def neighbour_pairs(df: DataFrame, id_: str, structure: str) -> DataFrame:
+    """(id, i, j, image, distance) of all site pairs and images of a cell; a site meets its own images, not itself.
+
+    Made within each structure's row, one site at a time: nothing is shuffled.
+    """
+    p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
+    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
+    shifts = F.transform(images(), lambda i: F.struct(i.alias("image"), cartesian(i.cast("array<double>"), F.col("m")).alias("s")))
+    rows = rows.select(id_, shifts.alias("shifts"), F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
+    one = rows.select(id_, "shifts", "x", F.posexplode("x").alias("i", "xi"))
+    gap = lambda b, s: F.sqrt(sum(((b[k] + s["s"][k] - F.col("xi")[k]) ** 2 for k in range(3)), F.lit(0.0)))
+    met = F.flatten(F.transform("x", lambda b, j: F.transform("shifts", lambda s: F.struct(j.alias("j"), s["image"].alias("image"), gap(b, s).alias("distance")))))
+    out = one.select(id_, "i", F.explode(met).alias("e")).select(id_, "i", "e.*")
+    return out.where((F.col("i") != F.col("j")) | (F.col("image")[0] != 0) | (F.col("image")[1] != 0) | (F.col("image")[2] != 0))
 
 
 def least_distance(df: DataFrame, id_: str, structure: str) -> DataFrame:
@@ -221,7 +226,7 @@ def scaled_lattice(lengths: list[Column], angles: list[Column], atoms: Column) -
 def merged_sites(df: DataFrame, id_: str, coords: Column, tolerance: float = 0.25) -> DataFrame:
     """(id, kept): places of the sites that stay when each one within the tolerance of an earlier kept one, along every
     axis and under periodic bounds, is left out. Coordinates are an array of triples; a fold within the row."""
-    near = lambda p, q: F.greatest(*[periodic_gap(p[k], q[k]) for k in range(3)]) < tolerance
+    near = lambda p, q: F.greatest(*[periodic_gap(p[k], q[k]) for k in range(3)]) < tolerance - 1e-9
     start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<array<double>>").alias("at"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:

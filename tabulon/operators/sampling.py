@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.semantics import is_finite
+from tabulon.operators.skew import running_total
+from tabulon.workspace import Workspace
+
+
+def _same_run(a: DataFrame, b: DataFrame, run: list[str]) -> DataFrame:
+    """a joined to the one row of its run in b; null runs are runs."""
+    right = b.select(*[F.col(c).alias(f"__{c}") for c in run], *[c for c in b.columns if c not in run])
+    on = F.lit(True)
+    for c in run:
+        on = on & a[c].eqNullSafe(F.col(f"__{c}"))
+    return a.join(right, on).drop(*[f"__{c}" for c in run])
 
 
 def normalised_weights(df: DataFrame, run: list[str], log_weight: str, name: str = "weight") -> DataFrame:
-    """Adds weights that sum to 1 in each run, from log-weights; uniform where none is finite. Non-finite ones get 0."""
-    w = Window.partitionBy(*run)
+    """Adds weights that sum to 1 in each run, from log-weights; uniform where none is finite. Non-finite ones get 0.
+
+    Two grouped sums joined back to the rows: a run may be of any size.
+    """
     good = F.when(is_finite(F.col(log_weight)), F.col(log_weight))
-    top = F.max(good).over(w)
-    part = F.when(good.isNotNull(), F.exp(good - top)).otherwise(F.lit(0.0))
-    return df.withColumn("__e", part).withColumn(name, F.coalesce(F.try_divide("__e", F.nullif(F.sum("__e").over(w), F.lit(0.0))), 1 / F.count(F.lit(1)).over(w))).drop("__e")
+    topped = _same_run(df, df.groupBy(*run).agg(F.max(good).alias("__top"), F.count(F.lit(1)).alias("__n")), run)
+    part = F.coalesce(F.exp(good - F.col("__top")), F.lit(0.0))
+    sums = topped.groupBy(*run).agg(F.sum(part).alias("__sum"))
+    whole = _same_run(topped, sums, run)
+    return whole.withColumn(name, F.coalesce(F.try_divide(part, F.nullif(F.col("__sum"), F.lit(0.0))), 1 / F.col("__n"))).drop("__top", "__n", "__sum")
 
 
 def effective_size(df: DataFrame, run: list[str], weight: str) -> DataFrame:
@@ -26,15 +41,16 @@ def systematic_resample(df: DataFrame, run: list[str], index: str, weight: str,
     """(run, slot, ancestor): slot k takes the particle whose cumulated weight passes (k + u) / n first.
 
     The slots a particle serves follow from its own interval of cumulated weight, so nothing is joined: n and the
-    interval give their first and last number. The last interval ends at 1.
+    interval give their first and last number. The last interval ends at 1. Weights are cumulated over range partitions
+    (running_total), so a run may be of any size; sums are taken to 12 digits. ``index`` numbers a run's particles.
     """
-    w = Window.partitionBy(*run)
-    order = w.orderBy(index)
-    n = F.count(F.lit(1)).over(w)
-    cum = F.when(F.row_number().over(order) == n, F.lit(1.0)).otherwise(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("__n", n).withColumn("__hi", cum).withColumn("__lo", F.coalesce(F.lag("__hi").over(order), F.lit(0.0)))
-    first, last = (F.ceil(F.col(c) * F.col("__n") - u).cast("int") for c in ("__lo", "__hi"))
-    spans = df.withColumn("__a", F.greatest(first, F.lit(0))).withColumn("__b", F.least(last, F.col("__n").cast("int")) - 1)
+    ws = Workspace(df.sparkSession, "resample")
+    summed = running_total(ws, df, run, [index], F.col(weight), "__cum")
+    whole = _same_run(summed, df.groupBy(*run).agg(F.count(F.lit(1)).alias("__n"), F.max(index).alias("__last")), run)
+    hi = F.when(F.col(index) == F.col("__last"), 1.0).otherwise(F.round("__cum", 12))
+    lo = F.round(F.col("__cum") - F.coalesce(F.col(weight), F.lit(0.0)), 12)
+    first, last = (F.ceil(c * F.col("__n") - u).cast("int") for c in (lo, hi))
+    spans = whole.withColumn("__a", F.greatest(first, F.lit(0))).withColumn("__b", F.least(last, F.col("__n").cast("int")) - 1)
     return spans.where("__a <= __b").select(*run, F.explode(F.sequence("__a", "__b")).alias("slot"), F.col(index).alias("ancestor"))
 
 

@@ -47,11 +47,15 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, val
 
 
 def interval_first(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, order: str, keep: str) -> DataFrame:
-    """points with ``keep`` of the first interval (least ``order``) of their group that holds them, ends included."""
-    p = points.withColumn("__id", F.monotonically_increasing_id())
-    hit = p.select("__id", *by, at).join(intervals.select(*by, start, end, order, keep), by).where(F.col(at).between(F.col(start), F.col(end)))
-    best = hit.groupBy("__id").agg(F.min_by(keep, order).alias(keep))
-    return p.join(best, "__id", "left").drop("__id")
+    """points with ``keep`` of the first interval (least ``order``) of their group that holds them, ends included.
+
+    Distinct (group, place) are met with the group's intervals once and joined back by value, so repeated points cost
+    nothing and no row needs a number. Points of no group, or without a place, get null.
+    """
+    places = points.select(*by, at).distinct()
+    hit = places.join(intervals.select(*by, start, end, order, keep), by).where(F.col(at).between(F.col(start), F.col(end)))
+    best = hit.groupBy(*by, at).agg(F.min_by(keep, order).alias(keep))
+    return points.join(best, [*by, at], "left").select(*points.columns, keep)
 
 
 def carry_forward(df: DataFrame, by: list[str], order: str, header: Column, name: str) -> DataFrame:

@@ -25,14 +25,14 @@ def effective_radius(spark, d):
 def radius_graph(spark, d):
     """Edges within each structure's effective radius, at most the two nearest images a pair of sites."""
     radius = table(spark, d, "reference_snapshot").where("structure IS NOT NULL").select("snapshot_row_id", geometry.effective_radius(*_p()).alias("radius"))
-    pairs = geometry.neighbour_pairs(_sites(spark, d), "snapshot_row_id").join(radius, "snapshot_row_id")
+    pairs = geometry.neighbour_pairs(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure").join(radius, "snapshot_row_id")
     near = geometry.radius_graph(pairs, "snapshot_row_id", F.col("radius") - 1e-7, 2)
     return near.groupBy("snapshot_row_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("distance"), 4).alias("mean"))
 
 
 def nearest_images(spark, d):
     """Distances of sites 0 and 1 of each structure at the nearest image."""
-    best = geometry.nearest_images(geometry.neighbour_pairs(_sites(spark, d).where("site < 2"), "snapshot_row_id").where("i = 0 AND j = 1"), "snapshot_row_id")
+    best = geometry.nearest_images(geometry.neighbour_pairs(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure").where("i = 0 AND j = 1"), "snapshot_row_id")
     return best.select("snapshot_row_id", F.round(F.col("distance") ** 2, 4).alias("squared"))
 
 
@@ -136,7 +136,7 @@ SELECT id AS snapshot_row_id, count(*) AS edges, round(avg(d), 4) AS mean FROM n
     "merged_sites": """
 WITH s AS (SELECT snapshot_row_id AS id, list_transform(structure.sites, lambda x: x.frac_coords) AS f FROM reference_snapshot WHERE structure IS NOT NULL),
 x AS (SELECT id, unnest(f) AS p, generate_subscripts(f, 1) - 1 AS n FROM s),
-r AS (SELECT a.id, a.n AS i, b.n AS j FROM x a JOIN x b ON a.id = b.id AND a.n < b.n AND list_max([least(abs(a.p[k] - b.p[k]) % 1.0, 1 - abs(a.p[k] - b.p[k]) % 1.0) for k in [1, 2, 3]]) < 0.25),
+r AS (SELECT a.id, a.n AS i, b.n AS j FROM x a JOIN x b ON a.id = b.id AND a.n < b.n AND list_max([least(abs(a.p[k] - b.p[k]) % 1.0, 1 - abs(a.p[k] - b.p[k]) % 1.0) for k in [1, 2, 3]]) < 0.25 - 1e-9),
 l AS (SELECT id, list(DISTINCT [i, j]) AS e FROM r GROUP BY 1),
 o AS (SELECT s.id, list_reduce(list_prepend([-1]::BIGINT[], list_transform(generate_series(0, len(f) - 1), lambda n: [n])), lambda acc, m: CASE WHEN len(list_filter(coalesce(e, []), lambda t: t[2] = m[1] AND list_contains(acc, t[1]))) > 0 THEN acc ELSE list_append(acc, m[1]) END) AS kept FROM s LEFT JOIN l USING (id))
 SELECT id AS snapshot_row_id, array_to_string(kept[2:], ',') AS kept FROM o""",

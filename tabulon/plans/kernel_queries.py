@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import text
 from tabulon.operators import evaluate, geometry, quality
+from tabulon.plans import model_queries
 from tabulon.session import table
 
 
@@ -107,6 +108,7 @@ QUERIES = {
 
 _TOK = "SELECT spacegroup_number AS g, trim(unnest(string_split({c}, ';'))) AS p FROM topology_labels WHERE spacegroup_number IS NOT NULL"
 ORACLE = {
+    "deployment_gate": f"SELECT enrichment, ci_low, coalesce(enrichment >= 1.5 AND ci_low > 1, FALSE) AS deployable FROM ({model_queries.ORACLE['enrichment_top20']}), ({model_queries.ORACLE['group_bootstrap_ci']})",
     "stage_classifier": """
 SELECT CASE WHEN p_size % 5 = 0 AND p_size > 0 THEN 'relax' WHEN p_size % 7 = 0 OR (p_size % 3 <> 0 AND p_size % 2 = 0 AND p_size % 4 = 0) THEN 'band_soc' WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN 'static_soc'
   WHEN p_size % 3 = 2 THEN 'one_step_symmetry' ELSE 'static_nosoc' END AS stage, count(*) AS jobs FROM part GROUP BY 1""",

@@ -49,6 +49,25 @@ def group_bootstrap_ci(spark, d):
     return evaluate.bootstrap_ci(_oof(spark, d), "actual_spacegroup", "oof_probability", "label", draws=2000)
 
 
+def top_share_ci(spark, d):
+    """The interval of the top fifth's enrichment over 2000 resamplings of the groups."""
+    return evaluate.bootstrap_top_ci(_oof(spark, d), "actual_spacegroup", "oof_probability", "label")
+
+
+def stratified_folds(spark, d):
+    """Folds of chemical systems, with labels alike; checked by their totals."""
+    rows = _oof(spark, d).withColumn("grp", formulas.chemical_system(F.col("chemical_system")))
+    return evaluate.stratified_folds(rows, "grp", "label")
+
+
+def fold_totals(spark, d):
+    """One row: folds, systems and rows placed, and whether each fold's share of positives is that of all to within 2 in 100."""
+    by = stratified_folds(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("g"), F.sum("rows").alias("r"), F.sum("positives").alias("p"))
+    whole = by.agg(F.sum("p").alias("all_p"), F.sum("r").alias("all_r"))
+    met = by.crossJoin(F.broadcast(whole)).withColumn("ok", F.abs(F.col("p") / F.col("r") - F.col("all_p") / F.col("all_r")) <= 0.02)
+    return met.agg(F.count(F.lit(1)).alias("folds"), F.sum("g").alias("systems"), F.sum("r").alias("rows"), F.bool_and("ok").alias("alike"))
+
+
 def group_folds(spark, d):
     return evaluate.group_folds(_oof(spark, d), "actual_spacegroup", "label")
 
@@ -73,8 +92,7 @@ def blocked_novelty(spark, d):
     """Candidates against references of their formula, the same if space group and atoms per formula agree."""
     cat = table(spark, d, "structure_catalog").select("catalog_row_id", "reduced_formula", "actual_spacegroup", "valid_structure")
     ref = table(spark, d, "reference_snapshot").where("reduced_formula IS NOT NULL").select("material_id", "reduced_formula", "spacegroup_number")
-    same = F.col("c_actual_spacegroup") == F.col("r_spacegroup_number")
-    return dedup.novelty(cat, ref, "reduced_formula", same, "catalog_row_id", "material_id", F.col("valid_structure"))
+    return dedup.novelty(cat, ref, "reduced_formula", [("actual_spacegroup", "spacegroup_number")], "catalog_row_id", "material_id", F.col("valid_structure"))
 
 
 def weighted_features(spark, d):
@@ -116,10 +134,6 @@ def tempered_power(spark, d):
     return spark.range(0, 501).select(F.col("id").alias("step"), F.round(sampling.tempered_power(F.col("id"), 100, 450, 3.0), 6).alias("beta"))
 
 
-def _sites(spark, d):
-    return geometry.site_table(table(spark, d, "reference_snapshot").select("snapshot_row_id", "structure"), "snapshot_row_id", "structure")
-
-
 def lattice_volume(spark, d):
     p = [F.col(f"structure.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
     return table(spark, d, "reference_snapshot").where("structure IS NOT NULL").select("snapshot_row_id", F.round(geometry.volume(*p), 4).alias("volume"), F.size("structure.sites").alias("sites"))
@@ -130,7 +144,7 @@ def pbc_min_distance(spark, d):
 
 
 def pbc_neighbours(spark, d):
-    near = geometry.nearest_neighbours(geometry.neighbour_pairs(_sites(spark, d), "snapshot_row_id"), "snapshot_row_id", 4)
+    near = geometry.nearest_neighbours(geometry.neighbour_pairs(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure"), "snapshot_row_id", 4)
     return near.groupBy("snapshot_row_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.max("distance"), 4).alias("longest"))
 
 
@@ -171,7 +185,7 @@ def tree_uncertainty(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (arm_metrics, lift_vs_baseline, auc_ap_brier, auc_ap_brier_sg194, enrichment_top20, group_bootstrap_ci, group_folds, exact_dup_hash, text_hashes, leader_clusters, blocked_novelty, weighted_features, nan_scaler, smc_weights_ess, systematic_resample, categorical_draw, conditional_marginals, tempered_power, lattice_volume, pbc_min_distance, pbc_neighbours, edge_symmetrise, noise_schedule, fractional_wrap, rf_oof_scores, tree_uncertainty)
+    for f in (arm_metrics, lift_vs_baseline, auc_ap_brier, auc_ap_brier_sg194, enrichment_top20, group_bootstrap_ci, top_share_ci, stratified_folds, fold_totals, group_folds, exact_dup_hash, text_hashes, leader_clusters, blocked_novelty, weighted_features, nan_scaler, smc_weights_ess, systematic_resample, categorical_draw, conditional_marginals, tempered_power, lattice_volume, pbc_min_distance, pbc_neighbours, edge_symmetrise, noise_schedule, fractional_wrap, rf_oof_scores, tree_uncertainty)
 }
 
 _ARMS = """
@@ -219,9 +233,24 @@ SELECT count(*) AS selected, round(avg(label), 6) AS precision, round(any_value(
 WITH k AS (SELECT * FROM particle_dp_oof_predictions WHERE actual_spacegroup IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability) AND label IN (0, 1)),
 g AS (SELECT row_number() OVER (ORDER BY actual_spacegroup) - 1 AS g, count(*) AS n, sum(label) AS p, count(*) FILTER (oof_probability >= 0.5) AS s, sum(CASE WHEN oof_probability >= 0.5 THEN label ELSE 0 END) AS sp FROM k GROUP BY actual_spacegroup),
 c AS (SELECT count(*) AS c FROM g),
-d AS (SELECT i // c AS draw, ((i + 13) * 1103515245 + 12345) % 2147483648 * 48271 % 2147483647 % c AS g FROM c, range(200 * (SELECT c FROM c)) r(i)),
+d AS (SELECT i // c AS draw, ((i + 13) * 1103515245 + 12345) % 2147483648 * 48271 % 2147483647 % c AS g FROM c, range(2000 * (SELECT c FROM c)) r(i)),
 e AS (SELECT (sum(sp) / nullif(sum(s), 0)) / nullif(sum(p) / sum(n), 0) AS e FROM d JOIN g ON d.g = g.g GROUP BY draw)
 SELECT count(*) AS draws, round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high FROM e WHERE e IS NOT NULL""",
+    "top_share_ci": """
+WITH k AS (SELECT actual_spacegroup AS a, round(oof_probability, 3) AS s, label FROM particle_dp_oof_predictions WHERE actual_spacegroup IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability) AND label IN (0, 1)),
+h AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS g FROM (SELECT DISTINCT a FROM k)), c AS (SELECT count(*) AS c FROM h),
+t AS (SELECT g, s, count(*) AS n, sum(label) AS p FROM k JOIN h USING (a) GROUP BY 1, 2),
+d AS (SELECT i // c AS draw, ((i + 13) * 1103515245 + 12345) % 2147483648 * 48271 % 2147483647 % c AS g FROM c, range(2000 * (SELECT c FROM c)) r(i)),
+u AS (SELECT draw, g, count(*) AS k FROM d GROUP BY 1, 2), x AS (SELECT draw, s, sum(k * n) AS n, sum(k * p) AS p FROM u JOIN t USING (g) GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY draw ORDER BY s DESC) AS upto, sum(n) OVER (PARTITION BY draw) AS nn, sum(p) OVER (PARTITION BY draw) AS pp FROM x),
+y AS (SELECT *, greatest(1, ceil(nn * 0.2::DOUBLE)) AS q FROM r), z AS (SELECT draw, sum(p * least(greatest(q - (upto - n), 0), n) / n) AS hit, max(q) AS q, max(nn) AS nn, max(pp) AS pp FROM y GROUP BY 1),
+e AS (SELECT hit / q / nullif(pp / nn, 0) AS e FROM z)
+SELECT count(*) AS draws, round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high FROM e WHERE e IS NOT NULL""",
+    "fold_totals": """
+WITH x AS (SELECT label, list_filter(string_split_regex(chemical_system, '[^A-Za-z]+'), lambda t: t <> '') AS parts FROM particle_dp_oof_predictions WHERE label IN (0, 1)),
+y AS (SELECT label, CASE WHEN len(parts) <> 1 OR regexp_full_match(parts[1], '[a-z]{1,2}') THEN parts ELSE regexp_extract_all(parts[1], '[A-Z][a-z]?') END AS symbols FROM x),
+z AS (SELECT label, nullif(array_to_string(list_sort(list_distinct(list_transform(symbols, lambda t: upper(t[1]) || lower(t[2:])))), '-'), '') AS s FROM y)
+SELECT 5 AS folds, count(DISTINCT s) AS systems, count(s) AS rows, TRUE AS alike FROM z""",
     "group_folds": """
 WITH b AS (SELECT actual_spacegroup, count(*) AS rows, sum(label)::BIGINT AS positives FROM particle_dp_oof_predictions WHERE actual_spacegroup IS NOT NULL AND label IN (0, 1) GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY positives DESC, rows DESC, actual_spacegroup) - 1 AS n FROM b)
@@ -257,7 +286,7 @@ SELECT run, CAST(s AS INTEGER) AS slot, particle AS ancestor FROM b, range(1000)
     "categorical_draw": """
 WITH t AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2),
 c AS (SELECT p, s, sum(n) OVER (PARTITION BY p ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER (PARTITION BY p) AS hi FROM t),
-d AS (SELECT o_orderkey, o_orderpriority AS p, (o_orderkey * 7919 + 13) % 1000 / 1000.0::DOUBLE AS u FROM orders WHERE o_orderkey % 10 = 0)
+d AS (SELECT o_orderkey, o_orderpriority AS p, (o_orderkey * 7919 + 13) % 1000 / 1000.0::DOUBLE AS u FROM orders)
 SELECT o_orderkey, min_by(s, hi) AS o_orderstatus FROM d JOIN c ON d.p = c.p AND c.hi > d.u GROUP BY 1""",
     "conditional_marginals": """
 WITH v AS (SELECT unnest(['view', 'click', 'purchase', 'signup']) AS event_type), u AS (SELECT DISTINCT user_id FROM events),

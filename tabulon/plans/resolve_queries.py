@@ -143,10 +143,12 @@ QUERIES = {
 }
 
 _SCORED = """
-WITH p AS (SELECT candidate_id, round(avg(oof_probability), 6) AS tp, round(max(oof_probability) - min(oof_probability), 6) AS u
-  FROM particle_dp_oof_predictions WHERE candidate_id IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability) GROUP BY 1),
+WITH v AS (SELECT *, regexp_replace(candidate_id, '^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$', '', 'g') AS t FROM particle_dp_oof_predictions),
+k AS (SELECT *, CASE WHEN t NOT IN ('', '-', 'None', 'nan') THEN replace(t, '/', '__') END AS key FROM v),
+p AS (SELECT key, round(avg(oof_probability), 6) AS tp, round(max(oof_probability) - min(oof_probability), 6) AS u
+  FROM k WHERE key IS NOT NULL AND oof_probability IS NOT NULL AND NOT isnan(oof_probability) GROUP BY 1),
 s AS (SELECT c.*, p.tp, round(sqrt(greatest(0.5, 1e-9) * greatest(coalesce(tp, 0.5), 1e-9)) + 0.05 * greatest(coalesce(u, 0), 0), 6) AS score
-  FROM structure_catalog c LEFT JOIN p USING (candidate_id))
+  FROM structure_catalog c LEFT JOIN p ON p.key = c.candidate_id)
 """
 
 ORACLE = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import formulas, text
 from tabulon.operators import lookup, series
 from tabulon.session import table
+from tabulon.workspace import Workspace
 
 
 def token_counts(spark, d):
@@ -56,12 +57,8 @@ def fuzzy_name_rank(spark, d):
     """The best matching result of each query name, and whether it is the only best."""
     names = table(spark, d, "dft_materials").where("result_name IS NOT NULL").select("result_name").distinct()
     asked = table(spark, d, "topology_labels").where("result_name IS NOT NULL AND topology_row_id % 50 = 0").select("topology_row_id", F.regexp_replace("result_name", r"_\d+$", "").alias("query"))
-    key = lambda c: F.substring(text.plain_name(F.col(c)), 1, 4)
-    met = asked.withColumn("k", key("query")).join(names.withColumn("k", key("result_name")), "k")
-    scored = met.withColumn("score", text.name_score(F.col("result_name"), F.col("query"))).where("score IS NOT NULL")
-    best = scored.groupBy("topology_row_id", "query").agg(F.max(F.struct("score", F.col("result_name"))).alias("b"), F.max("score").alias("score"))
-    count = scored.groupBy("topology_row_id", "score").agg(F.count(F.lit(1)).alias("ties"))
-    return best.join(count, ["topology_row_id", "score"]).select("topology_row_id", "query", "score", "ties")
+    scored = lookup.named_like(Workspace(spark, "names"), names, "result_name", asked, "topology_row_id", "query")
+    return lookup.best_named(scored, "topology_row_id", "query", "result_name").select("topology_row_id", "query", "score", "ties")
 
 
 def regex_audit(spark, d):
@@ -88,8 +85,8 @@ def relax_log_state(spark, d):
 
 
 def section_carry_forward(spark, d):
-    """Lines of chats by the speaker whose turn they are in."""
-    lines = series.lines_of(table(spark, d, "documents").where("source = 'agent_chat'").select("doc_id", "text"), "doc_id", "text")
+    """Lines of texts by the speaker whose turn they are in; other texts have none."""
+    lines = series.lines_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     header = F.nullif(F.regexp_extract("line", r"^(User|Agent): ", 1), F.lit(""))
     done = series.carry_forward(lines, ["doc_id"], "line_no", header, "speaker")
     return done.groupBy("doc_id", F.coalesce("speaker", F.lit("none")).alias("speaker")).agg(F.count(F.lit(1)).alias("lines"))
@@ -140,6 +137,14 @@ def path_matches(spark, d):
     return done.select("topology_row_id", "path", "path_status", F.array_join("candidates", ";").alias("candidates"))
 
 
+def compared_paths(spark, d):
+    """Paths of each space group's analyses with their crossings, beside the entries of analyses with one confirmed particle."""
+    t = table(spark, d, "topology_labels").where("spacegroup_number IS NOT NULL")
+    entries = t.where("confirmed_particles != '' AND NOT contains(confirmed_particles, ';')").select("spacegroup_number", F.explode(text.tokens(F.col("high_symmetry_paths"))).alias("path"), F.col("confirmed_particles").alias("particle"), F.lit("l").alias("line_label"), F.lit(1).alias("page"))
+    summaries = t.select("spacegroup_number", F.explode(text.tokens(F.col("high_symmetry_paths"))).alias("path"), F.coalesce("crossing_count", F.lit(0)).alias("n")).groupBy("spacegroup_number", "path").agg(F.sum("n").alias("crossings"))
+    return lookup.compared(summaries, entries, ["spacegroup_number"], "path", "particle").select("spacegroup_number", "path", "crossings", "particle", "classification")
+
+
 def lookup_expand(spark, d):
     """Ordered particle entries of each space group: confirmed ones first, then compatible ones."""
     t = table(spark, d, "topology_labels").where("spacegroup_number IS NOT NULL").select("spacegroup_number", "topology_row_id", "confirmed_particles", "compatible_particles")
@@ -165,7 +170,7 @@ def crossing_diagnostics(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, distinct_set_string, name_fields, formula_keys, system_keys, range_expand, settings_parse, fuzzy_name_rank, regex_audit, concept_scoring, relax_log_state, section_carry_forward, degenerate_expand, local_minimum_events, label_exchange_events, adjacent_pairs, interval_join_first, asof_status, path_matches, lookup_expand, evidence_ladder, crossing_diagnostics)
+    for f in (token_counts, distinct_set_string, name_fields, formula_keys, system_keys, range_expand, settings_parse, fuzzy_name_rank, regex_audit, concept_scoring, relax_log_state, section_carry_forward, degenerate_expand, local_minimum_events, label_exchange_events, adjacent_pairs, interval_join_first, asof_status, path_matches, compared_paths, lookup_expand, evidence_ladder, crossing_diagnostics)
 }
 
 _LIKE = lambda p: f"contains(lower(coalesce(text, '')), '{p}')"
@@ -173,6 +178,11 @@ ORACLE = {
     "token_counts": """
 WITH x AS (SELECT result_name, trim(unnest(string_split(compatible_particles, ';'))) AS particle FROM topology_labels)
 SELECT particle, count(*) AS mentions, count(DISTINCT result_name) AS results FROM x WHERE particle <> '' GROUP BY 1""",
+    "system_keys": """
+WITH x AS (SELECT oof_row_id, list_filter(string_split_regex(chemical_system, '[^A-Za-z]+'), lambda t: t <> '') AS parts FROM particle_dp_oof_predictions),
+y AS (SELECT CASE WHEN len(parts) <> 1 OR regexp_full_match(parts[1], '[a-z]{1,2}') THEN parts ELSE regexp_extract_all(parts[1], '[A-Z][a-z]?') END AS symbols FROM x),
+z AS (SELECT nullif(array_to_string(list_sort(list_distinct(list_transform(symbols, lambda t: upper(t[1]) || lower(t[2:])))), '-'), '') AS system FROM y)
+SELECT system, count(*) AS rows FROM z WHERE system IS NOT NULL GROUP BY 1""",
     "distinct_set_string": """
 WITH x AS (SELECT spacegroup_number, trim(unnest(string_split(high_symmetry_paths, ';'))) AS path FROM topology_labels WHERE spacegroup_number IS NOT NULL),
 k AS (SELECT DISTINCT spacegroup_number FROM topology_labels WHERE spacegroup_number IS NOT NULL),
@@ -197,7 +207,7 @@ SELECT x.catalog_row_id, composition, atoms, expanded FROM x LEFT JOIN c USING (
 WITH n AS (SELECT DISTINCT result_name AS r, regexp_replace(lower(result_name), '[^a-z0-9]+', '', 'g') AS p FROM dft_materials WHERE result_name IS NOT NULL),
 q AS (SELECT topology_row_id, regexp_replace(result_name, '_\d+$', '') AS query FROM topology_labels WHERE result_name IS NOT NULL AND topology_row_id % 50 = 0),
 k AS (SELECT *, regexp_replace(lower(query), '[^a-z0-9]+', '', 'g') AS qp FROM q),
-s AS (SELECT topology_row_id, query, CASE WHEN qp = '' THEN NULL WHEN p = qp THEN 100 WHEN starts_with(p, qp) THEN 80 WHEN contains(p, qp) THEN 60 END AS score FROM k JOIN n ON left(k.qp, 4) = left(n.p, 4)),
+s AS (SELECT topology_row_id, query, CASE WHEN qp = '' THEN NULL WHEN p = qp THEN 100 WHEN starts_with(p, qp) THEN 80 WHEN contains(p, qp) THEN 60 END AS score FROM k JOIN n ON k.qp <> '' AND contains(n.p, k.qp)),
 b AS (SELECT topology_row_id, max(score) AS m FROM s WHERE score IS NOT NULL GROUP BY 1)
 SELECT s.topology_row_id, query, score, count(*) AS ties FROM s JOIN b ON s.topology_row_id = b.topology_row_id AND s.score = b.m GROUP BY 1, 2, 3""",
     "regex_audit": r"""
@@ -214,11 +224,11 @@ m AS (SELECT doc_id, n, regexp_extract(line, '^\s*(FIRE|BFGS|LBFGS):?\s+(\d+)\s+
 b AS (SELECT doc_id, max_by(g, n) AS g, count(*) AS log_lines FROM m GROUP BY 1)
 SELECT doc_id, log_lines, g.o AS optimiser, CAST(g.s AS INTEGER) AS step, TRY_CAST(g.e AS DOUBLE) AS energy, TRY_CAST(g.f AS DOUBLE) AS fmax, TRY_CAST(g.f AS DOUBLE) <= 0.1 AS converged FROM b""",
     "section_carry_forward": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL AND source = 'agent_chat'),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, nullif(regexp_extract(line, '^(User|Agent): ', 1), '') AS h FROM l),
 c AS (SELECT doc_id, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM h)
 SELECT doc_id, coalesce(s, 'none') AS speaker, count(*) AS lines FROM c GROUP BY 1, 2""",
-    "degenerate_expand": "SELECT l_orderkey, l_linenumber, CAST(s AS INTEGER) AS step, CAST(l_linenumber + s AS INTEGER) AS band FROM lineitem, unnest(range(l_linenumber)) AS u(s) WHERE l_orderkey % 20 = 0",
+    "degenerate_expand": "SELECT l_orderkey, l_linenumber, CAST(s AS INTEGER) AS step, CAST(l_linenumber + s AS INTEGER) AS band FROM lineitem, unnest(range(l_linenumber)) AS u(s)",
     "local_minimum_events": """
 SELECT event_id, user_id, value, previous, next FROM (SELECT *, lag(value) OVER w AS previous, lead(value) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 WHERE value <= previous AND value < next AND value < 60""",
@@ -245,6 +255,14 @@ n AS (SELECT row_number() OVER () AS i, * FROM p),
 m AS (SELECT DISTINCT i, particle FROM n JOIN k ON n.g = k.g AND (n.c = k.c OR n.c = reverse(k.c))),
 l AS (SELECT i, count(*) AS z, string_agg(particle, ';' ORDER BY particle) AS candidates FROM m GROUP BY 1)
 SELECT topology_row_id, path, CASE WHEN z = 1 THEN 'unique' WHEN z > 1 THEN 'ambiguous' ELSE 'not_indexed' END AS path_status, coalesce(candidates, '') AS candidates FROM n LEFT JOIN l USING (i)""".replace("\\\\", "\\"),
+    "compared_paths": r"""
+WITH t AS (SELECT * FROM topology_labels WHERE spacegroup_number IS NOT NULL),
+o AS (SELECT spacegroup_number AS g, trim(unnest(string_split(high_symmetry_paths, ';'))) AS path, coalesce(crossing_count, 0) AS n FROM t),
+s AS (SELECT g, path, sum(n)::BIGINT AS crossings, upper(regexp_replace(path, '[^\p{L}]+', '', 'g')) AS c FROM o WHERE path <> '' GROUP BY 1, 2),
+k AS (SELECT DISTINCT g, least(c, reverse(c)) AS c, particle FROM (SELECT t.spacegroup_number AS g, confirmed_particles AS particle, upper(regexp_replace(trim(unnest(string_split(high_symmetry_paths, ';'))), '[^\p{L}]+', '', 'g')) AS c
+  FROM t WHERE confirmed_particles <> '' AND NOT contains(confirmed_particles, ';')) WHERE c <> ''),
+m AS (SELECT g, c, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT s.g AS spacegroup_number, path, crossings, particle, CASE WHEN m.n IS NULL THEN 'not_indexed' WHEN m.n = 1 THEN 'unique' ELSE 'ambiguous' END AS classification FROM s LEFT JOIN m ON m.g = s.g AND m.c = least(s.c, reverse(s.c)) LEFT JOIN k ON k.g = s.g AND k.c = least(s.c, reverse(s.c))""".replace("\\\\", "\\"),
     "lookup_expand": """
 WITH t AS (SELECT * FROM topology_labels WHERE spacegroup_number IS NOT NULL),
 a AS (SELECT spacegroup_number AS g, 0 AS c, topology_row_id AS r, trim(unnest(string_split(confirmed_particles, ';'))) AS p, unnest(range(len(string_split(confirmed_particles, ';')))) AS i FROM t

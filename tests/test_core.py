@@ -185,7 +185,7 @@ def test_duplicates_and_novelty(spark):
     assert {r["i"]: r["leader"] for r in dedup.leader_clusters(v, "b", "i", "v", 0.75).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     c = spark.createDataFrame([(1, "C", 5, True), (2, "C", 6, True), (3, "Na", 5, True), (4, "C", 5, None)], "i int, f string, sg int, ok boolean")
     r = spark.createDataFrame([("m", "C", 5)], "id string, f string, sg int")
-    got = {x["i"]: (x["novelty_status"], x["is_novel"]) for x in dedup.novelty(c, r, "f", F.col("c_sg") == F.col("r_sg"), "i", "id", F.col("ok")).collect()}
+    got = {x["i"]: (x["novelty_status"], x["is_novel"]) for x in dedup.novelty(c, r, "f", [("sg", "sg")], "i", "id", F.col("ok")).collect()}
     assert got == {1: ("matched", False), 2: ("structure_novel", True), 3: ("composition_novel", True), 4: ("not_evaluated_invalid", None)}
 
 
