@@ -19,25 +19,21 @@ spread out, and reports count them without spreading.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.crystals import flattened, length_bins, reduced_lengths, same_crystal, units_of
 from tabulon.operators.skew import heavy_keys, join_salted, join_unique
 from tabulon.session import table
 from tabulon.workspace import Workspace
 
-LENGTH, ANGLE, SITE = 0.02, 1.0, 0.02
 GRAM, WINDOW = 3, 2
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
-_WIDTH = 2 * -math.log(1 - LENGTH) + 1e-6
 
 
 def split_name(written: Column) -> Column:
@@ -46,49 +42,6 @@ def split_name(written: Column) -> Column:
     return F.when(word.isin("train", "training"), "train").when(word.isin("val", "valid", "validation", "dev"), "validation").when(word.isin("test", "testing"), "test")
 
 
-def divisors(n: int) -> list[int]:
-    return [k for k in range(1, n + 1) if n % k == 0]
-
-
-def _units(counts: Counter) -> int:
-    return reduce(math.gcd, counts.values())
-
-
-def reduced_lengths(lengths: np.ndarray, elements: list[str], coords: np.ndarray) -> list[tuple[float, ...]]:
-    """Sorted logarithms of the lengths of every cell the crystal may be reduced to, itself first.
-
-    An axis may be cut into k parts if that divides the numbers of all elements and each site, moved by 1/k, comes near
-    (within twice the tolerance at either end) another one of its element.
-    """
-    counts = Counter(elements)
-    part = _units(counts)
-    names = np.array(elements)
-    of = [np.flatnonzero(names == e) for e in counts]
-
-    def repeats(axis: int, k: int) -> bool:
-        step = np.zeros(3)
-        step[axis] = 1 / k
-        for i in sorted(of, key=len):
-            d = coords[i][:, None, :] + step - coords[i][None, :, :]
-            d = np.abs(d - np.round(d)).max(2)
-            if not (d.min(1) <= 4 * SITE).all():
-                return False
-        return True
-
-    ways = [[k for k in divisors(part) if k == 1 or repeats(axis, k)] for axis in range(3)]
-    cells = [k for k in itertools.product(*ways) if part % math.prod(k) == 0]
-    return list(dict.fromkeys(tuple(sorted(np.log(lengths / np.array(k)).tolist())) for k in cells))
-
-
-def _bins(logs: tuple[float, ...], around: bool) -> Iterator[tuple[int, ...]]:
-    places = [x / _WIDTH for x in logs]
-    own = [math.floor(x) for x in places]
-    if not around:
-        yield tuple(own)
-        return
-    yield from itertools.product(*[(b, b + 1 if x - b >= 0.5 else b - 1) for x, b in zip(places, own)])
-
-
 def word_size(kinds: int) -> int:
     """Tokens of a word, for a composition of so many elements: enough for a seed from every shared one."""
     return max(kinds, GRAM + WINDOW - 1)
@@ -99,13 +52,13 @@ def text_of(lengths: np.ndarray, elements: list[str], coords: np.ndarray, around
     import xxhash
 
     counts = Counter(elements)
-    part = _units(counts)
+    part = units_of(counts)
     ratio = [f"{e}{n // part}" for e, n in sorted(counts.items())]
     whole = xxhash.xxh64_intdigest("-".join(ratio))
     size = word_size(len(ratio))
     # a token's number comes from the composition, its element's place, its axis and its bin
     heads = [(whole + (i % len(ratio)) * 0x9E3779B97F4A7C15 + (i % 3) * 0xC2B2AE3D27D4EB4F) % _PRIME for i in range(size)]
-    words = dict.fromkeys(b for logs in reduced_lengths(lengths, elements, coords) for b in _bins(logs, around))
+    words = dict.fromkeys(b for logs in reduced_lengths(lengths, elements, coords) for b in length_bins(logs, around))
     return [(heads[i] * (2 * (bins[i % 3] + (1 << 20)) + 1)) % _PRIME for bins in words for i in range(size)]
 
 
@@ -137,100 +90,6 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["cid", "side", "seed", "place", "size"])
 
 
-def same_crystal(cell_a, elements_a, coords_a, cell_b, elements_b, coords_b) -> bool:
-    """Whether two crystals agree within the tolerances after choosing origin, order of axes and sites and multiples of the cells.
-
-    The cells' multiples along an axis are the divisors of the other one's number of formula units: with no common factor,
-    each must repeat itself as often as the other one is multiplied.
-    """
-    a, b = np.asarray(cell_a, float), np.asarray(cell_b, float)
-    xa, xb = np.asarray(coords_a, float).reshape(-1, 3), np.asarray(coords_b, float).reshape(-1, 3)
-    ea, eb = np.array(list(elements_a)), np.array(list(elements_b))
-    ca, cb = Counter(ea.tolist()), Counter(eb.tolist())
-    ua, ub = _units(ca), _units(cb)
-    if {e: n // ua for e, n in ca.items()} != {e: n // ub for e, n in cb.items()}:
-        return False
-    pairs = [(i, j) for i in divisors(ub) for j in divisors(ua) if math.gcd(i, j) == 1]
-    for order in itertools.permutations(range(3)):
-        order = list(order)
-        if np.abs(a[3:] - b[3:][order]).max() > ANGLE + 1e-9:
-            continue
-        lb = b[:3][order]
-        ways = [[(i, j) for i, j in pairs if abs(a[k] * i - lb[k] * j) <= LENGTH * max(a[k] * i, lb[k] * j) + 1e-9] for k in range(3)]
-        for way in itertools.product(*ways):
-            ia, ib = [w[0] for w in way], [w[1] for w in way]
-            if len(ea) * math.prod(ia) == len(eb) * math.prod(ib) and _sites_agree(*_repeated(ea, xa, ia), *_repeated(eb, xb[:, order], ib)):
-                return True
-    return False
-
-
-def _repeated(elements: np.ndarray, coords: np.ndarray, times: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    shifts = list(itertools.product(*map(range, times)))
-    return np.concatenate([elements] * len(shifts)), np.vstack([(coords + np.array(s)) / np.array(times) for s in shifts])
-
-
-def _sites_agree(ea: np.ndarray, xa: np.ndarray, eb: np.ndarray, xb: np.ndarray) -> bool:
-    """Whether one origin brings each site within SITE of one of its element. Elements are looked at one by one, the rarest first."""
-    counts = Counter(ea.tolist())
-    if counts != Counter(eb.tolist()):
-        return False
-    kinds = sorted(counts, key=lambda e: (counts[e], e))
-    of_a, of_b = [xa[ea == e] for e in kinds], [xb[eb == e] for e in kinds]
-    start = of_a[0][0]
-    for first in of_b[0]:
-        low, high = np.full(3, np.inf), np.full(3, -np.inf)
-        for one, two in zip(of_a, of_b):
-            d = two[None, :, :] - one[:, None, :] - (first - start)
-            d -= np.round(d)
-            far = np.abs(d).max(2)
-            near = far <= 2 * SITE + 1e-9
-            partner = _matching(near, far) if near.any(1).all() and near.any(0).all() else None
-            if partner is None:
-                break
-            off = d[np.arange(len(one)), partner]
-            low, high = np.minimum(low, off.min(0)), np.maximum(high, off.max(0))
-        else:
-            if (high - low).max() <= 2 * SITE + 1e-9:
-                return True
-    return False
-
-
-def _matching(near: np.ndarray, cost: np.ndarray) -> np.ndarray | None:
-    """A one-to-one choice of near partners: nearest first, then by augmenting paths found breadth first."""
-    n = len(near)
-    partner, taken = np.full(n, -1), np.full(n, -1)
-    options = [np.flatnonzero(row) for row in near]
-    options = [o[np.argsort(cost[i, o], kind="stable")] for i, o in enumerate(options)]
-    for i in range(n):
-        for j in options[i]:
-            if taken[j] < 0:
-                partner[i], taken[j] = j, i
-                break
-    for i in np.flatnonzero(partner < 0):
-        came, queue, end = {}, [i], -1
-        while queue and end < 0:
-            nxt = []
-            for k in queue:
-                for j in options[k]:
-                    if j not in came:
-                        came[j] = k
-                        if taken[j] < 0:
-                            end = j
-                            break
-                        nxt.append(taken[j])
-                if end >= 0:
-                    break
-            queue = nxt
-        if end < 0:
-            return None
-        while end >= 0:
-            k = came[end]
-            before = partner[k]
-            partner[k], taken[end] = end, k
-            end = before if k != i else -1
-    return partner
-
-
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = [same_crystal(*r) for r in zip(pdf["cell_a"], pdf["elements_a"], pdf["coords_a"], pdf["cell_b"], pdf["elements_b"], pdf["coords_b"])]
@@ -244,13 +103,8 @@ def crystal_classes(ws: Workspace, rows: DataFrame) -> tuple[DataFrame, DataFram
     A row without a structure has those of its material. Equal written structures are one crystal. Structures without
     sites, or with a null length, angle, element or coordinate, or a length that isn't positive, match nothing.
     """
-    lattice = F.array(*[F.col(f"structure.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")])
-    flat = rows.withColumns({"cell": lattice, "elements": F.col("structure.sites.element"), "coords": F.flatten(F.transform("structure.sites", lambda s: s["frac_coords"]))})
-    sound = (F.size("elements") > 0) & (F.size("coords") == 3 * F.size("elements"))
-    for c in ("cell", "elements", "coords"):
-        sound = sound & ~F.exists(c, lambda x: x.isNull())
-    sound = sound & F.forall("cell", lambda x: x > 0) & F.forall("coords", lambda x: ~F.isnan(x))
-    flat = flat.withColumn("crystal", F.when(F.coalesce(sound, F.lit(False)), F.md5(F.to_json("structure")))).withColumn("lent", F.col("structure").isNull()).drop("structure")
+    flat = flattened(rows, "structure")
+    flat = flat.withColumn("crystal", F.when(F.col("sound"), F.md5(F.to_json("structure")))).withColumn("lent", F.col("structure").isNull()).drop("structure", "sound")
     key = F.md5(F.to_json(F.struct("side", "material", "crystal", "lent"), {"ignoreNullFields": "false"}))
     flat = ws.stage(flat.withColumn("cls", F.when(F.col("side").isNotNull(), key)))
     classes = ws.stage(flat.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("side", "material", "crystal", "lent")], F.count(F.lit(1)).alias("n")))

@@ -5,7 +5,8 @@ import random
 
 import numpy as np
 
-from tabulon.llm.overlap import GRAM, cross_split_pairs, overlapping_rows, reduced_lengths, same_crystal, text_of, winnow
+from tabulon.llm.overlap import GRAM, cross_split_pairs, overlapping_rows, text_of, winnow
+from tabulon.operators.crystals import reduced_lengths, same_crystal
 
 STRUCTURE = "struct<lattice: struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>, sites: array<struct<element:string,frac_coords:array<double>>>>"
 SCHEMA = f"row_id long, side string, material string, structure {STRUCTURE}, cell string, seed long, crystal string"
