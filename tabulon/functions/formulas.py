@@ -88,3 +88,65 @@ def running_number_in_name(name: Column) -> Column:
     longest = F.array_max(F.transform(numbers, lambda n: F.length(n)))
     first = F.try_element_at(F.filter(numbers, lambda n: F.length(n) == longest), F.lit(1))
     return F.regexp_replace(first, r"^0+(?=\d)", "")
+
+
+#: The numbers of the noble gases, which end the periods.
+PERIOD_ENDS = (2, 10, 18, 36, 54, 86, 118)
+PROPERTIES = ("number", "mass", "electronegativity", "period", "group")
+
+
+def element_properties(given: dict[str, dict[str, float]] | None = None) -> dict[str, list[float]]:
+    """PROPERTIES by symbol. Number, period and group follow from the place in the table. Mass and electronegativity are
+    estimates by rule (the valley of stable nuclei; outer electrons over the period) where ``given`` has no value."""
+    out = {}
+    for z, symbol in enumerate(ELEMENTS, 1):
+        period = next(i for i, end in enumerate(PERIOD_ENDS, 1) if z <= end)
+        start = PERIOD_ENDS[period - 2] if period > 1 else 0
+        place, size = z - start, PERIOD_ENDS[period - 1] - start
+        if size == 2:
+            group = 1 if place == 1 else 18
+        elif size == 8:
+            group = place if place <= 2 else place + 10
+        elif size == 18:
+            group = place
+        else:
+            group = place if place <= 2 else 3 if place <= 16 else place - 14
+        mass = 1.0 if z == 1 else 2.0 * z
+        for _ in range(40):
+            mass = z * (1.98 + 0.0155 * mass ** (2 / 3)) if z > 1 else 1.0
+        outer = group if group <= 12 else group - 10
+        known = (given or {}).get(symbol, {})
+        out[symbol] = [float(z), float(known.get("mass", mass)), float(known.get("electronegativity", round(0.7 + 0.45 * outer ** 0.8 / period**0.5, 4))), float(period), float(group)]
+    return out
+
+
+def composition_statistics(elements: Column, weights: Column, properties: dict[str, list[float]] | None = None) -> dict[str, Column]:
+    """For each of PROPERTIES the mean by weights, population deviation of the distinct elements, least and greatest value.
+
+    ``elements``: distinct symbols; ``weights``: their numbers. Null where a symbol is unknown or there is none.
+    """
+    table = properties or element_properties()
+    known = F.map_from_arrays(F.array(*[F.lit(e) for e in table]), F.array(*[F.array(*[F.lit(v) for v in row]) for row in table.values()]))
+    rows = F.transform(elements, lambda e: known[e])
+    good = (F.size(elements) > 0) & ~F.exists(rows, lambda r: r.isNull())
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    out = {}
+
+    def four(name: str, place: int) -> None:
+        v = F.transform(rows, lambda r: F.element_at(r, place))
+        n = F.size(v)
+        squares = let(total(v) / n, lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) ** 2))
+        out[f"{name}_weighted_mean"] = F.when(good, total(F.zip_with(v, weights, lambda x, w: x * w)) / total(F.transform(weights, lambda w: w.cast("double"))))
+        out[f"{name}_std"] = F.when(good, F.sqrt(squares / n))
+        out[f"{name}_min"] = F.when(good, F.array_min(v))
+        out[f"{name}_max"] = F.when(good, F.array_max(v))
+
+    for i, name in enumerate(PROPERTIES, 1):
+        four(name, i)
+    return out
+
+
+def formula_parts(formula: Column) -> tuple[Column, Column]:
+    """Distinct symbols of a composition key (``Ge1-Rb2``), and their numbers."""
+    key = F.split(composition(formula), "-")
+    return F.transform(key, lambda p: F.regexp_extract(p, r"^([A-Z][a-z]?)", 1)), F.transform(key, lambda p: F.regexp_extract(p, r"(\d+)$", 1).cast("int"))

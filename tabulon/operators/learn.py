@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions import formulas
 from tabulon.functions.semantics import is_finite
-from tabulon.operators.evaluate import group_folds
+from tabulon.operators import geometry
+from tabulon.operators.evaluate import stratified_folds
 from tabulon.workspace import Workspace
 
 
@@ -39,6 +42,40 @@ def assembled(df: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]
     return VectorAssembler(inputCols=features, outputCol="features").transform(ready), df.where(~good)
 
 
+def structure_features(df: DataFrame, id_: str, structure: str, spacegroup: str, properties: dict[str, list[float]] | None = None) -> tuple[DataFrame, list[str]]:
+    """(id, 32 features) of structures, and the features' names: 12 of the cell (atoms, elements, volume per atom, density, least
+    distance, space group, lengths, angles) and four statistics of each of five element properties.
+
+    All within a structure's row but the least distance, which is joined by id. Null where there is no structure or an
+    element is unknown.
+    """
+    cell = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
+    elements = F.transform(f"{structure}.sites", lambda s: s["element"])
+    kinds = F.array_sort(F.array_distinct(elements))
+    counts = F.transform(kinds, lambda k: F.size(F.filter(elements, lambda e: e == k)))
+    stats = formulas.composition_statistics(kinds, counts, properties)
+    atoms, v = F.size(elements), geometry.volume(*cell)
+    own = {
+        "atom_count": atoms.cast("double"), "element_count": F.size(kinds).cast("double"), "volume_per_atom": v / atoms, "density": stats["mass_weighted_mean"] * atoms * 1.66053907 / v, "min_distance": F.col("least_distance"), "spacegroup_number": F.col(spacegroup).cast("double"),
+        **dict(zip(("lattice_a", "lattice_b", "lattice_c", "alpha", "beta", "gamma"), cell)),
+    }
+    near = geometry.least_distance(df, id_, structure)
+    rows = df.select(id_, structure, spacegroup).join(near, id_, "left")
+    every = own | stats
+    return rows.select(id_, *[c.alias(n) for n, c in every.items()]), list(every)
+
+
+def save_bundle(spark: SparkSession, path: str, model: RandomForestClassificationModel, features: list[str], metrics: dict) -> None:
+    """A model with the names of its features and its metrics, to be read by ``load_bundle``."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(features, json.dumps(metrics, sort_keys=True))], "features array<string>, metrics string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[RandomForestClassificationModel, list[str], dict]:
+    about = spark.read.schema("features array<string>, metrics string").json(f"{path}/about").first()
+    return RandomForestClassificationModel.load(f"{path}/model"), list(about["features"]), json.loads(about["metrics"])
+
+
 def weighted(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight``: rows over twice the rows of the class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
@@ -52,12 +89,14 @@ def forest(label: str, trees: int, seed: int) -> RandomForestClassifier:
 
 def out_of_fold(spark: SparkSession, df: DataFrame, id_: str, group: str, label: str, features: list[str], folds: int = 5, trees: int = 400, seed: int = 20) -> DataFrame:
     """(id, label, fold, probability, calibrated): each row scored by forests that never saw its group, then Platt scaled."""
+    df = Workspace(spark, "rows").stage(df)  # read many times from here on
     eligible(df, group, label)
     ready, _ = assembled(df.where(F.col(label).isin(0, 1)), features)
-    fold_of = group_folds(ready, group, label, folds).select(group, "fold")
-    rows = ready.join(fold_of, group).select(id_, F.col(label).cast("double").alias(label), "fold", "features").cache()
+    fold_of = stratified_folds(ready, group, label, folds).select(group, "fold")
+    ws = Workspace(spark, "folds")
+    rows = ws.stage(ready.join(fold_of, group).select(id_, F.col(label).cast("double").alias(label), "fold", "features"))
     parts = []
-    for k in range(folds):
+    for k in sorted(r[0] for r in rows.select("fold").distinct().collect()):  # at most ``folds`` values
         model = forest(label, trees, seed + k).fit(weighted(rows.where(F.col("fold") != k), label))
         parts.append(model.transform(rows.where(F.col("fold") == k)).select(id_, label, "fold", vector_to_array("probability")[1].alias("probability")))
     scored = parts[0]
@@ -83,7 +122,7 @@ def leaf_probabilities(spark: SparkSession, model: RandomForestClassificationMod
 
 def scored_with_uncertainty(spark: SparkSession, df: DataFrame, id_: str, label: str, features: list[str], trees: int = 100, seed: int = 20) -> DataFrame:
     """(id, probability, uncertainty, error): mean and population deviation over trees; rows with unusable features only have an error."""
-    ready, bad = assembled(df, features)
+    ready, bad = assembled(Workspace(spark, "rows").stage(df), features)
     train = weighted(ready.where(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias(label), "features"), label)
     model = forest(label, trees, seed).fit(train)
     votes = leaf_probabilities(spark, model)

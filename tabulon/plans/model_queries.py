@@ -8,6 +8,7 @@ from tabulon.functions import formulas
 from tabulon.operators import dedup, evaluate, geometry, learn, sampling
 from tabulon.operators.orphans import reference_value
 from tabulon.session import table
+from tabulon.workspace import Workspace
 
 
 def _oof(spark, d):
@@ -164,13 +165,25 @@ def fractional_wrap(spark, d):
 
 def _features(spark, d):
     """Every prediction with its candidate's measures, null where the catalogue doesn't know the candidate."""
+    names = [f"{p}_{s}" for p in formulas.PROPERTIES for s in ("weighted_mean", "std", "min", "max")]
     measures = ("atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom")
-    cat = table(spark, d, "structure_catalog").groupBy(reference_value("candidate_id").alias("key")).agg(*[F.max(c).cast("double").alias(c) for c in measures]).where("key IS NOT NULL")
+    cat = table(spark, d, "structure_catalog").groupBy(reference_value("candidate_id").alias("key")).agg(F.min("reduced_formula").alias("formula"), *[F.max(c).cast("double").alias(c) for c in measures]).where("key IS NOT NULL")
+    kinds, numbers = formulas.formula_parts(F.col("formula"))
+    cat = Workspace(spark, "features").stage(cat.withColumns({"kinds": kinds, "numbers": numbers}))  # formulas are read once, not once a statistic
+    stats = formulas.composition_statistics(F.col("kinds"), F.col("numbers"))
+    cat = cat.select("key", *measures, *[stats[n].alias(n) for n in names])
     rows = _oof(spark, d).select("oof_row_id", "candidate_id", "label", F.coalesce(formulas.chemical_system(F.col("chemical_system")), F.lit("none")).alias("grp"), F.col("actual_spacegroup").cast("double").alias("spacegroup"))
     return rows.withColumn("key", reference_value("candidate_id")).join(cat, "key", "left").drop("key")
 
 
-FEATURES = ["atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom", "spacegroup"]
+FEATURES = ["atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom", "spacegroup", *[f"{p}_{s}" for p in formulas.PROPERTIES for s in ("weighted_mean", "std", "min", "max")]]
+
+
+def structure_features(spark, d):
+    """Features of reference structures: those of the cell, and of the numbers and periods of their elements."""
+    rows, _ = learn.structure_features(table(spark, d, "reference_snapshot").where("structure IS NOT NULL"), "snapshot_row_id", "structure", "spacegroup_number")
+    chosen = ("atom_count", "element_count", "spacegroup_number", "lattice_a", "gamma", "number_weighted_mean", "number_std", "number_min", "number_max", "period_min", "period_max", "period_std")
+    return rows.select("snapshot_row_id", F.round("volume_per_atom", 4).alias("volume_per_atom"), *[F.round(c, 5).alias(c) for c in chosen])
 
 
 def rf_oof_scores(spark, d):
@@ -185,7 +198,7 @@ def tree_uncertainty(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (arm_metrics, lift_vs_baseline, auc_ap_brier, auc_ap_brier_sg194, enrichment_top20, group_bootstrap_ci, top_share_ci, stratified_folds, fold_totals, group_folds, exact_dup_hash, text_hashes, leader_clusters, blocked_novelty, weighted_features, nan_scaler, smc_weights_ess, systematic_resample, categorical_draw, conditional_marginals, tempered_power, lattice_volume, pbc_min_distance, pbc_neighbours, edge_symmetrise, noise_schedule, fractional_wrap, rf_oof_scores, tree_uncertainty)
+    for f in (arm_metrics, lift_vs_baseline, auc_ap_brier, auc_ap_brier_sg194, enrichment_top20, group_bootstrap_ci, top_share_ci, stratified_folds, fold_totals, group_folds, exact_dup_hash, text_hashes, leader_clusters, blocked_novelty, weighted_features, nan_scaler, smc_weights_ess, systematic_resample, categorical_draw, conditional_marginals, tempered_power, lattice_volume, pbc_min_distance, pbc_neighbours, edge_symmetrise, noise_schedule, fractional_wrap, structure_features, rf_oof_scores, tree_uncertainty)
 }
 
 _ARMS = """
@@ -220,7 +233,14 @@ pr AS (SELECT a.id, a.i, b.i AS j, p, q, r, sqrt((b.x + p * a.m00 + q * a.m10 -
   FROM x a JOIN x b ON a.id = b.id, im WHERE a.i <> b.i OR p <> 0 OR q <> 0 OR r <> 0)
 """
 
+_Z = "[" + ", ".join(f"'{e}'" for e in formulas.ELEMENTS) + "]"
 ORACLE = {
+    "structure_features": f"""
+WITH e AS (SELECT snapshot_row_id, spacegroup_number, structure.lattice AS l, len(structure.sites) AS n, list_transform(structure.sites, lambda s: list_position({_Z}, s.element)) AS z FROM reference_snapshot WHERE structure IS NOT NULL),
+d AS (SELECT *, list_distinct(z) AS k FROM e), p AS (SELECT *, list_transform(k, lambda x: CASE WHEN x <= 2 THEN 1 WHEN x <= 10 THEN 2 WHEN x <= 18 THEN 3 WHEN x <= 36 THEN 4 WHEN x <= 54 THEN 5 WHEN x <= 86 THEN 6 ELSE 7 END) AS q FROM d)
+SELECT snapshot_row_id, round(l.a * l.b * l.c * sqrt(greatest(1 - cos(radians(l.alpha)) ** 2 - cos(radians(l.beta)) ** 2 - cos(radians(l.gamma)) ** 2 + 2 * cos(radians(l.alpha)) * cos(radians(l.beta)) * cos(radians(l.gamma)), 0)) / n, 4) AS volume_per_atom,
+  n::DOUBLE AS atom_count, len(k)::DOUBLE AS element_count, spacegroup_number::DOUBLE AS spacegroup_number, round(l.a, 5) AS lattice_a, round(l.gamma, 5) AS gamma, round(list_avg(z), 5) AS number_weighted_mean, round(list_stddev_pop(k), 5) AS number_std, list_min(k)::DOUBLE AS number_min, list_max(k)::DOUBLE AS number_max,
+  list_min(q)::DOUBLE AS period_min, list_max(q)::DOUBLE AS period_max, round(list_stddev_pop(q), 5) AS period_std FROM p""",
     "arm_metrics": _ARMS + "SELECT * FROM a",
     "lift_vs_baseline": _ARMS + "SELECT a.selected_stage, a.metric, a.rate, round(a.rate / nullif(b.rate, 0), 6) AS lift FROM a LEFT JOIN a b ON a.metric = b.metric AND b.selected_stage = 'generated'",
     "auc_ap_brier": _RANK.format(extra=""),
