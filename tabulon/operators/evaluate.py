@@ -49,13 +49,12 @@ def ranking_metrics(spark: SparkSession, df: DataFrame, score: str, label: str)
 
     Distinct scores are accumulated over range partitions (running_total), so the table may be of any size.
     """
-    from tabulon.operators.skew import running_total
+    from tabulon.operators.skew import running_totals
     from tabulon.workspace import Workspace
 
     ws = Workspace(spark, "ranking")
     table = ws.stage(score_table(df, score, label))
-    down = running_total(ws, table, [], [F.col("score").desc()], F.col("pos"), "tp")
-    down = running_total(ws, down, [], [F.col("score").desc()], F.col("neg"), "fp")
+    down = running_totals(ws, table, [], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     total = table.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     both = down.crossJoin(F.broadcast(total))  # one row
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))

@@ -48,37 +48,44 @@ def images() -> Column:
     return F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
 
 
+def _placed(df: DataFrame, id_: str, structure: str) -> DataFrame:
+    """(id, m, x): the matrix and the Cartesian coordinates of all sites of each structure."""
+    p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
+    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
+    return rows.select(id_, "m", F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
+
+
+def _distance() -> Column:
+    """From xi to the image of xj."""
+    shift = cartesian(F.col("image").cast("array<double>"), F.col("m"))
+    return F.sqrt(sum(((F.col("xj")[k] + shift[k] - F.col("xi")[k]) ** 2 for k in range(3)), F.lit(0.0)))
+
+
+_ITSELF = "i = j AND image[0] = 0 AND image[1] = 0 AND image[2] = 0"
+
+
 def neighbour_pairs(df: DataFrame, id_: str, structure: str) -> DataFrame:
     """(id, i, j, image, distance) of all site pairs and images of a cell; a site meets its own images, not itself.
 
-    Made within each structure's row, one site at a time: nothing is shuffled.
+    Pairs are generated from each structure's row: nothing is shuffled.
     """
-    p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
-    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
-    shifts = F.transform(images(), lambda i: F.struct(i.alias("image"), cartesian(i.cast("array<double>"), F.col("m")).alias("s")))
-    rows = rows.select(id_, shifts.alias("shifts"), F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
-    one = rows.select(id_, "shifts", "x", F.posexplode("x").alias("i", "xi"))
-    gap = lambda b, s: F.sqrt(sum(((b[k] + s["s"][k] - F.col("xi")[k]) ** 2 for k in range(3)), F.lit(0.0)))
-    met = F.flatten(F.transform("x", lambda b, j: F.transform("shifts", lambda s: F.struct(j.alias("j"), s["image"].alias("image"), gap(b, s).alias("distance")))))
-    out = one.select(id_, "i", F.explode(met).alias("e")).select(id_, "i", "e.*")
-    return out.where((F.col("i") != F.col("j")) | (F.col("image")[0] != 0) | (F.col("image")[1] != 0) | (F.col("image")[2] != 0))
+    one = _placed(df, id_, structure).select(id_, "m", "x", F.posexplode("x").alias("i", "xi"))
+    two = one.select(id_, "m", "i", "xi", F.posexplode("x").alias("j", "xj"))
+    met = two.withColumn("image", F.explode(images())).where(f"NOT ({_ITSELF})")
+    return met.select(id_, "i", "j", "image", _distance().alias("distance"))
 
 
 def least_distance(df: DataFrame, id_: str, structure: str) -> DataFrame:
-    """(id, least_distance) of each structure: over its pairs of sites, and a site and its own images, within one row.
+    """(id, least_distance) of each structure, over its pairs of sites, and a site and its own images.
 
-    Nothing is shuffled. A pair's distance is the same from either site, so only i <= j are looked at.
+    A pair's distance is the same from either site, so only i <= j are generated, from the structure's row; only the
+    minima are shuffled.
     """
-    p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
-    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
-    shifts = F.transform(images(), lambda i: cartesian(i.cast("array<double>"), F.col("m")))
-    rows = rows.select(id_, shifts.alias("shifts"), F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
-    far = F.filter("shifts", lambda s: (s[0] != 0) | (s[1] != 0) | (s[2] != 0))
-    d2 = lambda a, b, s: sum(((b[k] + s[k] - a[k]) ** 2 for k in range(3)), F.lit(0.0))
-    between = lambda a, rest: F.array_min(F.transform(rest, lambda b: F.array_min(F.transform("shifts", lambda s: d2(a, b, s)))))
-    others = F.array_min(F.transform("x", lambda a, i: between(a, F.slice(F.col("x"), i + 2, F.size("x")))))
-    own = F.array_min(F.transform(far, lambda s: s[0] ** 2 + s[1] ** 2 + s[2] ** 2))
-    return rows.where(F.size("x") > 0).select(id_, F.sqrt(F.least(others, own)).alias("least_distance"))
+    one = _placed(df, id_, structure).select(id_, "m", "x", F.posexplode("x").alias("i", "xi"))
+    rest = F.slice(F.col("x"), F.col("i") + 1, F.size("x"))
+    two = one.select(id_, "m", "i", "xi", F.posexplode(rest).alias("k", "xj")).withColumn("j", F.col("i") + F.col("k"))
+    met = two.withColumn("image", F.explode(images())).where(f"NOT ({_ITSELF})")
+    return met.groupBy(id_).agg(F.min(_distance()).alias("least_distance"))
 
 
 def nearest_neighbours(pairs: DataFrame, id_: str, k: int, tolerance: float = 0.01) -> DataFrame:

@@ -18,6 +18,14 @@ def check_budget(budget: int, low: int = 500, high: int = 2000) -> None:
         raise ValueError(f"the budget must lie between {low} and {high}")
 
 
+def check_analysis(tolerance: float, window: float, spacegroup: int | None = None) -> None:
+    """Raises unless both are positive, the gap tolerance is less than the energy window, and the space group is one of 1..230."""
+    if not (tolerance > 0 and window > 0 and tolerance < window):
+        raise ValueError("tolerance and window must be positive, the tolerance less than the window")
+    if spacegroup is not None and not 1 <= spacegroup <= 230:
+        raise ValueError(f"there is no space group {spacegroup}")
+
+
 def top_ranked(df: DataFrame, order: list[Column], budget: int, rank: str = "rank") -> DataFrame:
     """The first ``budget`` rows with their rank. Only they are numbered in one task; finding them is a distributed top-k."""
     best = df.orderBy(*order).limit(budget)

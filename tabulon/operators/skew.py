@@ -53,24 +53,30 @@ def ordered_ids(ws: Workspace, values: DataFrame, column: str, name: str) -> Dat
 
 
 def running_total(ws: Workspace, df: DataFrame, by: list[str], order: list[Column | str], value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """df with the sum of ``value`` over the rows before and including each one, within ``by``, in ``order`` (a total order).
+    """df with the sum of ``value`` over the rows before and including each one, within ``by``, in ``order`` (a total order)."""
+    return running_totals(ws, df, by, order, {name: value}, parts)
+
+
+def running_totals(ws: Workspace, df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """df with the sum of each of ``values`` over the rows before and including each one, within ``by``, in ``order`` (a total order).
 
     A group may hold all rows: rows are range partitioned by group and order, each range sums its own rows, and ranges
     add the totals of the ranges before (one row for each range and group that share rows).
     Null values count 0. An empty table stays empty.
     """
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
-    spread = df.withColumn("__v", F.coalesce(value.cast("double"), F.lit(0.0)))
+    temp = {n: f"__v{i}" for i, n in enumerate(values)}
+    spread = df.withColumns({temp[n]: F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in values.items()})
     spread = spread.repartitionByRange(*([parts] if parts else []), *keys).withColumn("__range", F.spark_partition_id())
     staged = ws.stage(spread)
-    sums = staged.groupBy("__range", *by).agg(F.sum("__v").alias("__sum"))
+    sums = staged.groupBy("__range", *by).agg(*[F.sum(t).alias(f"{t}_sum") for t in temp.values()])
     same = Window.partitionBy(*by) if by else Window.partitionBy()
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(same.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("__sum")
-    before = before.select("__range", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__before")
+    earlier = same.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__range", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[F.coalesce(F.sum(f"{t}_sum").over(earlier), F.lit(0.0)).alias(f"{t}_before") for t in temp.values()])
     within = Window.partitionBy("__range", *by).orderBy(*[o if not isinstance(o, str) else F.col(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    match = [staged["__range"] == before["__range"], *[staged[c].eqNullSafe(before[f"__by{i}"]) for i, c in enumerate(by)]]
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
+    on = staged["__range"] == before["__range"]
+    for i, c in enumerate(by):
+        on = on & staged[c].eqNullSafe(before[f"__by{i}"])
     joined = staged.join(before, on).drop(before["__range"], *[before[f"__by{i}"] for i in range(len(by))])
-    return joined.withColumn(name, F.sum("__v").over(within) + F.col("__before")).drop("__v", "__range", "__before")
+    done = joined.withColumns({n: F.sum(t).over(within) + F.col(f"{t}_before") for n, t in temp.items()})
+    return done.drop("__range", *temp.values(), *[f"{t}_before" for t in temp.values()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.functions import text
-from tabulon.operators import evaluate, quality, resolve, select, tables
+from tabulon.operators import evaluate, lookup, quality, resolve, select, tables
 from tabulon.session import table
 
 
@@ -134,6 +134,23 @@ def particles_in_order(spark, d):
     return tables.first_seen_list(t, ["spacegroup_number"], "particle", ["topology_row_id", "ord"], "particles").select("spacegroup_number", F.array_join("particles", ";").alias("particles"))
 
 
+def tolerance_sensitive(spark, d):
+    """Candidates whose space group depends on the tolerance it is found with; groups that weren't found don't count."""
+    c = table(spark, d, "structure_catalog")
+    found = F.array_distinct(F.filter(F.array("sg_symprec_001", "sg_symprec_005", "sg_symprec_010"), lambda x: x.isNotNull()))
+    return c.groupBy((F.size(found) > 1).alias("sensitive"), F.size(found).alias("groups")).agg(F.count(F.lit(1)).alias("records"), F.count_if("symmetry_tolerance_sensitive").alias("flagged"))
+
+
+def particles_by_mode(spark, d):
+    """Particles of each space group and mode (with spin-orbit coupling or not), confirmed before compatible, a first one replaced by one with paths; and where they come from."""
+    t = table(spark, d, "topology_labels").where("spacegroup_number IS NOT NULL AND soc IS NOT NULL")
+    part = lambda c, k: t.select("spacegroup_number", "soc", F.lit(k).alias("category_ord"), F.posexplode(text.tokens(F.col(c))).alias("ord", "particle"), F.when(F.col("high_symmetry_paths") != "", 1).otherwise(0).alias("has"), "topology_row_id")
+    both = part("confirmed_particles", 0).unionByName(part("compatible_particles", 1))
+    entries = both.groupBy("spacegroup_number", "soc", "category_ord", "particle").agg(F.min(F.col("topology_row_id") * 100 + F.col("ord")).alias("ord"), F.max("has").alias("has"), F.min("topology_row_id").alias("source_row"))
+    merged = lookup.merged_entries(entries.withColumn("paths", F.when(F.col("has") == 1, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))), ["spacegroup_number", "soc"], "particle")
+    return merged.select("spacegroup_number", "soc", "particle", F.when(F.col("category_ord") == 0, "essential").otherwise("accidental").alias("category"), (F.col("has") == 1).alias("with_paths"), "source_row")
+
+
 def counter_edges(spark, d):
     li = table(spark, d, "lineitem")
     return tables.counter_edges(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_partkey", "l_suppkey")
@@ -159,7 +176,7 @@ def blocks_replaced(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (assigned_arms, switchable_targets, kept_files, energy_per_atom, queue_rows, queue_shortfall, label_notes, batch_precision, pass_rate, completion_markers, nearest_reference, alias_counts, particle_groups, shards_rederived, shared_types, elements_kept, particles_in_order, counter_edges, sorted_json, stamped_names, blocks_replaced)
+    for f in (assigned_arms, switchable_targets, kept_files, energy_per_atom, queue_rows, queue_shortfall, label_notes, batch_precision, pass_rate, completion_markers, nearest_reference, alias_counts, particle_groups, shards_rederived, shared_types, elements_kept, particles_in_order, tolerance_sensitive, particles_by_mode, counter_edges, sorted_json, stamped_names, blocks_replaced)
 }
 
 _EACH = "SELECT spacegroup_number, topology_row_id, trim(unnest(string_split(compatible_particles, ';'))) AS particle FROM topology_labels WHERE spacegroup_number IS NOT NULL"
@@ -207,6 +224,15 @@ SELECT user_id, coalesce(t, '') AS types FROM (SELECT DISTINCT user_id FROM even
 WITH x AS (SELECT spacegroup_number, topology_row_id, string_split(compatible_particles, ';') AS l FROM topology_labels WHERE spacegroup_number IS NOT NULL),
 y AS (SELECT spacegroup_number, topology_row_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM x), z AS (SELECT spacegroup_number, trim(p) AS p, min(topology_row_id * 1000 + i) AS o FROM y WHERE trim(p) <> '' GROUP BY 1, 2)
 SELECT spacegroup_number, string_agg(p, ';' ORDER BY o) AS particles FROM z GROUP BY 1""",
+    "tolerance_sensitive": """
+WITH x AS (SELECT len(list_distinct([sg_symprec_001, sg_symprec_005, sg_symprec_010])) AS n, symmetry_tolerance_sensitive AS f FROM structure_catalog)
+SELECT n > 1 AS sensitive, n AS groups, count(*) AS records, count(*) FILTER (f) AS flagged FROM x GROUP BY 1, 2""",
+    "particles_by_mode": """
+WITH t AS (SELECT *, (high_symmetry_paths <> '') IS TRUE AS h FROM topology_labels WHERE spacegroup_number IS NOT NULL AND soc IS NOT NULL),
+a AS (SELECT spacegroup_number AS g, soc, 0 AS c, topology_row_id AS r, h, list_filter(list_transform(string_split(confirmed_particles, ';'), lambda p: trim(p)), lambda p: p <> '') AS l FROM t UNION ALL SELECT spacegroup_number, soc, 1, topology_row_id, h, list_filter(list_transform(string_split(compatible_particles, ';'), lambda p: trim(p)), lambda p: p <> '') FROM t),
+u AS (SELECT g, soc, c, r, h, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM a),
+e AS (SELECT g, soc, c, p, min(r * 100 + i) AS o, bool_or(h) AS h, min(r) AS s FROM u GROUP BY 1, 2, 3, 4)
+SELECT g AS spacegroup_number, soc, p AS particle, CASE WHEN c = 0 THEN 'essential' ELSE 'accidental' END AS category, h AS with_paths, s AS source_row FROM e QUALIFY row_number() OVER (PARTITION BY g, soc, p ORDER BY h DESC, c, o) = 1""",
     "counter_edges": """
 WITH e AS (SELECT l_orderkey, l_partkey AS i, l_suppkey AS j, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT l_orderkey, k AS place, i, j FROM e UNION ALL SELECT l_orderkey, k + n, j, i FROM e""",

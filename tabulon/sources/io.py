@@ -153,6 +153,20 @@ def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows
 
 
+#: What an index of particles by space group holds: modes with essential and accidental particles and the latter's paths.
+INDEX = "schema_version int, source string, space_groups map<string,map<string,struct<essential:array<struct<abbreviation:string,name:string>>,accidental:array<struct<abbreviation:string,name:string>>,accidental_paths:map<string,array<struct<line_label:string,path:string,source_pdf_page:int>>>>>>"
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(spacegroup, soc, category_ord, category, ord, abbreviation, name) and (spacegroup, soc, abbreviation, ord, line_label,
+    path, page) of an index file. Groups other than 1..230 and other modes than with_soc and without_soc are left out."""
+    groups = spark.read.schema(INDEX).json(path, multiLine=True).select(F.explode("space_groups").alias("sg", "modes")).select(F.col("sg").try_cast("int").alias("spacegroup"), F.explode("modes").alias("mode", "e"))
+    groups = groups.where("spacegroup BETWEEN 1 AND 230 AND mode IN ('with_soc', 'without_soc')").select("spacegroup", (F.col("mode") == "with_soc").alias("soc"), "e")
+    part = lambda c, k: groups.select("spacegroup", "soc", F.lit(k).alias("category_ord"), F.lit(c).alias("category"), F.posexplode(f"e.{c}").alias("ord", "p")).select("spacegroup", "soc", "category_ord", "category", "ord", "p.*")
+    paths = groups.select("spacegroup", "soc", F.explode("e.accidental_paths").alias("abbreviation", "ps")).select("spacegroup", "soc", "abbreviation", F.posexplode("ps").alias("ord", "p"))
+    return part("essential", 0).unionByName(part("accidental", 1)), paths.select("spacegroup", "soc", "abbreviation", "ord", "p.line_label", "p.path", F.col("p.source_pdf_page").alias("page"))
+
+
 def in_input_order(df: DataFrame, id_: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(df), whose rows keep ``id_``, with the number of each row in df (``place``), by which they may be ordered again."""
     numbered = df.withColumn("place", F.monotonically_increasing_id())

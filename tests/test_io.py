@@ -166,3 +166,23 @@ def test_windowed_rates(spark):
     t = dt.datetime(2025, 1, 1)
     frame = spark.createDataFrame([(t, "k", True), (t + dt.timedelta(minutes=5), "k", None), (t + dt.timedelta(hours=2), "k", False)], "t timestamp_ntz, k string, f boolean")
     assert sorted((r["rows"], r["hits"], r["rate"]) for r in windowed_rates(frame, "t", "k", "f").collect()) == [(1, 0, 0.0), (2, 1, 0.5)]
+
+
+def test_an_index_file(spark, tmp_path):
+    import json
+
+    dp, qdp = {"abbreviation": "DP", "name": "Dirac point"}, {"abbreviation": "QDP", "name": "quadratic"}
+    entry = {"essential": [qdp], "accidental": [dp, qdp], "accidental_paths": {"DP": [{"line_label": "A", "path": "GX", "source_pdf_page": 8}]}}
+    (tmp_path / "i.json").write_text(json.dumps({"schema_version": 1, "source": {"title": "t"}, "space_groups": {"194": {"with_soc": entry, "other": entry}, "231": {"with_soc": entry}}}))
+    particles, paths = io.read_index(spark, str(tmp_path / "i.json"))
+    assert sorted((r["spacegroup"], r["soc"], r["category"], r["ord"], r["abbreviation"]) for r in particles.collect()) == [(194, True, "accidental", 0, "DP"), (194, True, "accidental", 1, "QDP"), (194, True, "essential", 0, "QDP")]
+    assert [tuple(r) for r in paths.collect()] == [(194, True, "DP", 0, "A", "GX", 8)]
+
+
+def test_parameters_are_checked():
+    from tabulon.operators.select import check_analysis
+
+    check_analysis(0.03, 1.0, 194)
+    for bad in ((1.0, 1.0, None), (-1.0, 0.03, None), (0.03, 1.0, 231)):
+        with pytest.raises(ValueError):
+            check_analysis(*bad)
