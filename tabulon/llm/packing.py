@@ -155,6 +155,9 @@ def packed(spark: SparkSession, pieces: DataFrame, limit_of: dict[str, Limit] |
 
         schema = "window_name string, capacity int, doc_id bigint, piece int, first_token int, tokens int, loss_tokens int, container_id string, closed boolean"
         spread = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), shards).cast("int"))
+        # shards are small but costly, so they are dealt to tasks by number, not by bytes
+        tasks = min(sum(max(1, -(-n // shard)) for n in numbers.values()), 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+        spread = spread.repartition(tasks, "window_name", "shard")
         boxed = ws.stage(spread.groupBy("window_name", "shard").applyInPandas(_packer(k, final, full, limit_of), schema))
         closed = boxed.where("closed").drop("closed")
         done = closed if done is None else done.unionByName(closed)
