@@ -99,6 +99,8 @@ def bootstrap_ci(df: DataFrame, group: str, score: str, label: str, draws: int =
     Draws without positives or without selected rows are skipped.
     """
     known = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1))
+    known = known.select(F.col(group).alias("__group"), F.col(score).alias("__score"), F.col(label).alias("__label"))  # whatever the columns are called
+    group, score, label = "__group", "__score", "__label"
     totals = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"), F.count_if(F.col(score) >= cut).alias("s"), F.sum(F.when(F.col(score) >= cut, F.col(label)).otherwise(0)).alias("sp"))
     numbered = totals.withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)  # one row a group
     count = numbered.count()
@@ -120,6 +122,8 @@ def bootstrap_top_ci(df: DataFrame, group: str, score: str, label: str, share: f
     Draws without positives are skipped.
     """
     known = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin(0, 1))
+    known = known.select(F.col(group).alias("__group"), F.col(score).alias("__score"), F.col(label).alias("__label"))  # whatever the columns are called
+    group, score, label = "__group", "__score", "__label"
     cells = known.groupBy(group, F.round(score, digits).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
     groups = known.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)  # one row a group
     numbered = cells.join(groups, group).select("g", "s", "n", "p")
