@@ -48,11 +48,12 @@ def images() -> Column:
     return F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
 
 
-def _placed(df: DataFrame, id_: str, structure: str) -> DataFrame:
-    """(id, m, x): the matrix and the Cartesian coordinates of all sites of each structure."""
+def _placed(df: DataFrame, id_: str, structure: str, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, kept columns, m, x): the matrix and the Cartesian coordinates of all sites of each structure."""
+    kept = keep or {}
     p = [F.col(f"{structure}.lattice.{k}") for k in ("a", "b", "c", "alpha", "beta", "gamma")]
-    rows = df.where(F.col(structure).isNotNull()).select(id_, lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
-    return rows.select(id_, "m", F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
+    rows = df.where(F.col(structure).isNotNull()).select(id_, *[c.alias(n) for n, c in kept.items()], lattice_matrix(*p).alias("m"), F.transform(f"{structure}.sites", lambda s: s["frac_coords"]).alias("f"))
+    return rows.select(id_, *kept, "m", F.transform("f", lambda f: cartesian(f, F.col("m"))).alias("x"))
 
 
 def _distance() -> Column:
@@ -64,15 +65,18 @@ def _distance() -> Column:
 _ITSELF = "i = j AND image[0] = 0 AND image[1] = 0 AND image[2] = 0"
 
 
-def neighbour_pairs(df: DataFrame, id_: str, structure: str) -> DataFrame:
+def neighbour_pairs(df: DataFrame, id_: str, structure: str, keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, i, j, image, distance) of all site pairs and images of a cell; a site meets its own images, not itself.
 
-    Pairs are generated from each structure's row: nothing is shuffled.
+    Pairs are generated from each structure's row: nothing is shuffled. ``keep``: further columns of that row, such as a
+    radius. Joined to the pairs by id instead, they would meet a table that is thousands of times its file, which a plan
+    takes for small and broadcasts.
     """
-    one = _placed(df, id_, structure).select(id_, "m", "x", F.posexplode("x").alias("i", "xi"))
-    two = one.select(id_, "m", "i", "xi", F.posexplode("x").alias("j", "xj"))
+    kept = list(keep or {})
+    one = _placed(df, id_, structure, keep).select(id_, *kept, "m", "x", F.posexplode("x").alias("i", "xi"))
+    two = one.select(id_, *kept, "m", "i", "xi", F.posexplode("x").alias("j", "xj"))
     met = two.withColumn("image", F.explode(images())).where(f"NOT ({_ITSELF})")
-    return met.select(id_, "i", "j", "image", _distance().alias("distance"))
+    return met.select(id_, *kept, "i", "j", "image", _distance().alias("distance"))
 
 
 def least_distance(df: DataFrame, id_: str, structure: str) -> DataFrame:

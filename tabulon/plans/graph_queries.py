@@ -24,8 +24,7 @@ def effective_radius(spark, d):
 
 def radius_graph(spark, d):
     """Edges within each structure's effective radius, at most the two nearest images a pair of sites."""
-    radius = table(spark, d, "reference_snapshot").where("structure IS NOT NULL").select("snapshot_row_id", geometry.effective_radius(*_p()).alias("radius"))
-    pairs = geometry.neighbour_pairs(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure").join(radius, "snapshot_row_id")
+    pairs = geometry.neighbour_pairs(table(spark, d, "reference_snapshot"), "snapshot_row_id", "structure", {"radius": geometry.effective_radius(*_p())})
     near = geometry.radius_graph(pairs, "snapshot_row_id", F.col("radius") - 1e-7, 2)
     return near.groupBy("snapshot_row_id").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("distance"), 4).alias("mean"))
 
