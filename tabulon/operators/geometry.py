@@ -207,13 +207,19 @@ def nearest_images(pairs: DataFrame, id_: str) -> DataFrame:
 
 
 def edge_distances(edges: DataFrame, sites: DataFrame, id_: str) -> DataFrame:
-    """edges (id, i, j, image) with the distance and Cartesian vector from site i to that image of site j; edges of unknown sites vanish."""
-    a = sites.select(id_, F.col("site").alias("i"), F.col("x").alias("__xi"), "m")
-    b = sites.select(id_, F.col("site").alias("j"), F.col("x").alias("__xj"))
-    shift = cartesian(F.col("image").cast("array<double>"), F.col("m"))
-    vector = F.array(*[F.col("__xj")[k] + shift[k] - F.col("__xi")[k] for k in range(3)])
-    met = edges.join(a, [id_, "i"]).join(b, [id_, "j"]).withColumn("vector", vector)
-    return met.withColumn("distance", F.sqrt(sum((F.col("vector")[k] ** 2 for k in range(3)), F.lit(0.0)))).drop("__xi", "__xj", "m")
+    """edges (id, i, j, image) with the distance and Cartesian vector from site i to that image of site j; edges of unknown sites vanish.
+
+    A structure's sites meet its edges as one list, so both tables are shuffled once, by id. The join is told to merge:
+    sites are many times the file they come from, and a plan that goes by the file would broadcast them.
+    """
+    lists = sites.where(F.col(id_).isNotNull() & F.col("site").isNotNull()).groupBy(id_).agg(F.collect_list(F.struct("site", "x", "m")).alias("__s"))
+    met = edges.join(lists.hint("merge"), id_)
+    ends = met.withColumn("__a", F.filter("__s", lambda s: s["site"] == F.col("i"))).withColumn("__b", F.filter("__s", lambda s: s["site"] == F.col("j")))
+    both = ends.drop("__s").withColumn("__a", F.explode("__a")).withColumn("__b", F.explode("__b"))  # one of each, unless a site is listed twice
+    shift = cartesian(F.col("image").cast("array<double>"), F.col("__a.m"))
+    vector = F.array(*[F.col("__b.x")[k] + shift[k] - F.col("__a.x")[k] for k in range(3)])
+    out = both.withColumn("vector", vector).drop("__a", "__b")
+    return out.withColumn("distance", F.sqrt(sum((F.col("vector")[k] ** 2 for k in range(3)), F.lit(0.0))))
 
 
 def full_edges(df: DataFrame, id_: str, size: Column) -> DataFrame:

@@ -24,3 +24,18 @@ def test_pairs_keep_columns_of_their_structure(spark):
     assert pairs.columns == ["id", "radius", "i", "j", "image", "distance"] and pairs.count() == 52
     near = geometry.radius_graph(pairs, "id", F.col("radius"))
     assert {r["id"]: r["n"] for r in near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 2, 3: 4}
+
+
+def test_sites_are_never_broadcast_to_edges(spark):
+    plan = _plan(graph_queries.edge_distances(spark, DATA))
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_edges_meet_every_listing_of_their_sites(spark):
+    m = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 2.0]]
+    sites = spark.createDataFrame([(1, 0, [0.0, 0.0, 0.0], m), (1, 3, [0.0, 0.0, 0.5], m), (1, 3, [0.0, 0.0, 0.75], m), (2, None, [0.0] * 3, m), (None, 0, [0.0] * 3, m)], "id int, site int, x array<double>, m array<array<double>>")
+    edges = spark.createDataFrame([(1, 0, 3, [0, 0, 1], "a"), (1, 0, 2, [0, 0, 0], "b"), (2, None, None, [0, 0, 0], "c"), (None, 0, 0, [0, 0, 0], "d"), (3, 0, 0, [0, 0, 0], "e"), (1, 3, 0, None, "f")], "id int, i int, j int, image array<int>, note string")
+    out = geometry.edge_distances(edges, sites, "id")
+    assert set(out.columns) == {"id", "i", "j", "image", "note", "vector", "distance"}
+    assert sorted((r["note"], r["distance"]) for r in out.collect() if r["image"]) == [("a", 2.5), ("a", 2.75)]
+    assert [r["distance"] for r in out.collect() if not r["image"]] == [None, None]
