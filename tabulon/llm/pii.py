@@ -63,7 +63,7 @@ _FRENCH = re.compile(r"(?i)\b(?:selon|la|le|les|des|est|hier)\b")
 LABEL_REACH = 32
 _TOWN = re.compile(r",? ?(?:\d{5} [A-ZÄÖÜÉ]|[A-Z][a-z]+(?: [A-Z][a-z]+)* (?:\d{5}|[A-Z]{2}\d))")
 _HAN, _HAN_RUN = re.compile(r"[一-鿿]"), re.compile(r"[一-鿿]{2,}")
-#: Score from which a pattern may propose spans of its own, and how many patterns do.
+#: Score from which a pattern may propose spans of its own, and how many such patterns are sent to the workers; more are met by joins.
 SURE, PROPOSERS = 0.8, 2000
 
 
@@ -359,10 +359,15 @@ def proposed_names(spark: SparkSession, documents: DataFrame, patterns: DataFram
     """(doc_id, kind, start, stop, mention, score) of runs of two or three Han characters between a left and a right pattern
     that both score ``sure`` or more, whatever the directory holds: patterns discover names that no list proposes.
 
-    patterns: class, pattern (hash), p, n. The ``most`` frequent sure ones propose, so what reaches the workers is bounded.
+    patterns: class, pattern (hash), p, n. Up to ``most`` sure ones are sent to the workers; if there are more, every run
+    is joined with all of them, which gives the same rows. So what reaches the workers is bounded and no pattern is left out.
     """
-    top = patterns.where((F.col("class") == "name") & (F.col("p") >= sure) & (F.col("n") >= 3)).orderBy(F.col("n").desc(), "pattern").limit(most)
-    known = {r[0]: r[1] for r in top.select("pattern", "p").collect()}
+    own = patterns.where((F.col("class") == "name") & (F.col("p") >= sure) & (F.col("p") > 0) & (F.col("n") >= 3)).select("pattern", "p")
+    texts = documents.where(F.col("text").rlike("[一-鿿]{2}")).select("doc_id", "text")
+    top = own.limit(most + 1).collect()
+    if len(top) > most:
+        return _joined_names(spark, texts, own)
+    known = {r[0]: r[1] for r in top}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -387,8 +392,30 @@ def proposed_names(spark: SparkSession, documents: DataFrame, patterns: DataFram
                                     out.append((doc, "name", i, j, text[i:j], (score(left) + score(right)) / 4))
             yield pd.DataFrame(out, columns=["doc_id", "kind", "start", "stop", "mention", "score"])
 
-    texts = documents.where(F.col("text").rlike("[一-鿿]{2}"))
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id bigint, kind string, start int, stop int, mention string, score double")
+    return texts.mapInPandas(run, "doc_id bigint, kind string, start int, stop int, mention string, score double")
+
+
+def _joined_names(spark: SparkSession, texts: DataFrame, own: DataFrame) -> DataFrame:
+    """As proposed_names, from sure patterns (pattern, p) of any number: places meet left patterns, then right ones, by their hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                for m in _HAN_RUN.finditer(text):
+                    for i in range(m.start(), m.end() - 1):
+                        left = _han_patterns(text, i, i)[0]
+                        out.extend((doc, i, j, text[i:j], left, _han_patterns(text, i, j)[1]) for j in (i + 3, i + 2) if j <= m.end())
+            yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "mention", "l", "r"])
+
+    ws = Workspace(spark, "proposed")
+    met = texts.mapInPandas(run, "doc_id bigint, start int, stop int, mention string, l string, r string").withColumns({c: F.xxhash64(c) for c in "lr"})
+    for side in "lr":
+        met = ws.stage(met)
+        counts = met.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        score = own.select(F.col("pattern").alias(side), F.col("p").alias(f"p{side}"))
+        met = join_unique(met, score, side, heavy_keys(counts, side, "n", met.count()))
+    return met.select("doc_id", F.lit("name").alias("kind"), "start", "stop", "mention", ((F.col("pl") + F.col("pr")) / 4).alias("score"))
 
 
 def _settled(found: DataFrame) -> DataFrame:
