@@ -84,7 +84,8 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
 
 
 def forest(label: str, trees: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=2, seed=seed)
+    # each row's nodes are kept between the levels, else every level leads it through all trees again; the trees are the same
+    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=2, seed=seed, cacheNodeIds=True)
 
 
 def out_of_fold(spark: SparkSession, df: DataFrame, id_: str, group: str, label: str, features: list[str], folds: int = 5, trees: int = 400, seed: int = 20) -> DataFrame:

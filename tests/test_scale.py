@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.operators import geometry
+from tabulon.operators import geometry, learn
 from tabulon.plans import graph_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +39,13 @@ def test_edges_meet_every_listing_of_their_sites(spark):
     assert set(out.columns) == {"id", "i", "j", "image", "note", "vector", "distance"}
     assert sorted((r["note"], r["distance"]) for r in out.collect() if r["image"]) == [("a", 2.5), ("a", 2.75)]
     assert [r["distance"] for r in out.collect() if not r["image"]] == [None, None]
+
+
+def test_forests_keep_the_nodes_of_rows_and_give_the_same_trees(spark):
+    df = spark.range(0, 400, 1, 2).select((F.col("id") % 3 == 0).cast("double").alias("label"), F.rand(1).alias("a"), (F.col("id") % 7 + F.rand(2)).alias("b"))
+    ready, _ = learn.assembled(df, ["a", "b"])
+    rows = learn.weighted(ready, "label")
+    forest = learn.forest("label", 4, 1)
+    assert forest.getCacheNodeIds()
+    trees = [f.fit(rows).toDebugString.split("\n", 1)[1] for f in (forest, learn.forest("label", 4, 1).setCacheNodeIds(False))]
+    assert trees[0] == trees[1]
