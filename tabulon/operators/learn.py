@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +22,7 @@ from tabulon.functions import formulas
 from tabulon.functions.semantics import is_finite
 from tabulon.operators import geometry
 from tabulon.operators.evaluate import stratified_folds
+from tabulon.operators.trees import Grower, binned
 from tabulon.workspace import Workspace
 
 
@@ -88,24 +94,84 @@ def forest(label: str, trees: int, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=2, seed=seed, cacheNodeIds=True)
 
 
-def out_of_fold(spark: SparkSession, df: DataFrame, id_: str, group: str, label: str, features: list[str], folds: int = 5, trees: int = 400, seed: int = 20) -> DataFrame:
-    """(id, label, fold, probability, calibrated): each row scored by forests that never saw its group, then Platt scaled."""
+def _read(path: str, columns: list[str]) -> pa.Table:
+    """Columns of a staged table, by a worker; its files in the order of their names."""
+    where, root = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in where.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=where, use_threads=False, partitioning=None) for f in files])
+
+
+def _whole_trees(spark: SparkSession, ws: Workspace, rows: DataFrame, id_: str, label: str, features: list[str], folds: list[int], trees: int, seed: int) -> DataFrame:
+    """(id, label, fold, probability): each tree is grown by one task, which reads a byte a row and feature of the staged rows."""
+    at, few, many = rows._staged_at, 50, 100_000  # trees a task, rows a result
+    start = range(0, trees, few)
+
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for j in (j for pdf in batches for j in pdf["id"]):
+            own = _read(at, ["fold", label, features[j]])
+            held, y, column = (own[c].to_numpy() for c in ("fold", label, features[j]))
+            yield pd.DataFrame({"feature": [j], **{f"c{k}": [c.tobytes()] for k, c in zip(folds, binned(column, y.astype(np.uint8), held, folds))}})
+
+    codes = ws.stage(spark.range(0, len(features), 1, len(features)).mapInPandas(bins, "feature long, " + ", ".join(f"c{k} binary" for k in folds)))
+    codes_at = codes._staged_at
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for task in (t for pdf in batches for t in pdf["id"]):
+            k, first = folds[task % len(folds)], start[task // len(folds)]
+            own = _read(at, ["fold", label])
+            held, y = (own[c].to_numpy() for c in ("fold", label))
+            column = _read(codes_at, ["feature", f"c{k}"]).sort_by("feature")[f"c{k}"]
+            grower = Grower([np.frombuffer(c.as_buffer(), np.uint8) for c in column], y.astype(np.uint8), np.flatnonzero(held != k), np.flatnonzero(held == k))
+            sums = np.zeros(len(y))
+            for t in range(first, min(first + few, trees)):
+                grower.add(sums, np.random.default_rng([seed, k, t]))
+            sums = sums[held == k]
+            for chunk in range(0, len(sums), many):
+                yield pd.DataFrame({"fold": [k], "chunk": [chunk], "first": [first], "sums": [sums[chunk : chunk + many].tobytes()]})
+
+    grown = ws.stage(spark.range(0, len(folds) * len(start), 1, len(folds) * len(start)).mapInPandas(grow, "fold int, chunk long, first long, sums binary"))
+
+    def mean(key: tuple, parts: pa.Table) -> pa.Table:
+        k, chunk = (x.as_py() for x in key)
+        own = _read(at, [id_, label, "fold"])
+        own = own.filter(pc.equal(own["fold"], k)).slice(chunk, many)
+        sums = sum(np.frombuffer(s.as_buffer()) for s in parts.sort_by("first")["sums"])
+        return own.append_column("probability", pa.array(sums / trees))
+
+    return grown.groupBy("fold", "chunk").applyInArrow(mean, rows.select(id_, label, "fold").withColumn("probability", F.lit(0.0)).schema)
+
+
+def _shared_trees(rows: DataFrame, id_: str, label: str, features: list[str], folds: list[int], trees: int, seed: int) -> DataFrame:
+    """The same by Spark's forests, of which every task has a part of the rows."""
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    parts = []
+    for k in folds:
+        model = forest(label, trees, seed + k).fit(weighted(rows.where(F.col("fold") != k), label))
+        parts.append(model.transform(rows.where(F.col("fold") == k)).select(id_, label, "fold", vector_to_array("probability")[1].alias("probability")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def out_of_fold(spark: SparkSession, df: DataFrame, id_: str, group: str, label: str, features: list[str], folds: int = 5, trees: int = 400, seed: int = 20, most: int = 4_000_000) -> DataFrame:
+    """(id, label, fold, probability, calibrated): each row scored by forests that never saw its group, then Platt scaled.
+
+    Up to ``most`` rows each tree is grown by one task from a byte a row and feature; more rows go through Spark's forests, which take far longer but share the rows.
+    Workers read staged files themselves, so pyarrow must know the file system of ``spark.checkpoint.dir``.
+    """
     df = Workspace(spark, "rows").stage(df)  # read many times from here on
     eligible(df, group, label)
     ready, _ = assembled(df.where(F.col(label).isin(0, 1)), features)
-    fold_of = stratified_folds(ready, group, label, folds).select(group, "fold")
     ws = Workspace(spark, "folds")
-    rows = ws.stage(ready.join(fold_of, group).select(id_, F.col(label).cast("double").alias(label), "fold", "features"))
-    parts = []
-    for k in sorted(r[0] for r in rows.select("fold").distinct().collect()):  # at most ``folds`` values
-        model = forest(label, trees, seed + k).fit(weighted(rows.where(F.col("fold") != k), label))
-        parts.append(model.transform(rows.where(F.col("fold") == k)).select(id_, label, "fold", vector_to_array("probability")[1].alias("probability")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    fold_of = ws.stage(stratified_folds(ready, group, label, folds))
+    total, known = fold_of.agg(F.sum("rows"), F.sort_array(F.collect_set("fold"))).first()  # at most ``folds`` values
+    rows = ready.join(fold_of.select(group, "fold"), group).select(id_, F.col(label).cast("double").alias(label), "fold", *[F.col(f).cast("double").alias(f) for f in features])
+    rows = ws.stage(rows.repartition(max(8, total // 250_000), id_).sortWithinPartitions(id_))  # the order of rows decides on their draws
+    if total <= most:
+        scored = ws.stage(_whole_trees(spark, ws, rows, id_, label, features, known, trees, seed))
+    else:
+        scored = ws.stage(_shared_trees(rows, id_, label, features, known, trees, seed))
+    platt = LogisticRegression(labelCol=label, featuresCol="p", predictionCol="pred", probabilityCol="pc", rawPredictionCol="raw", regParam=1e-3)
     scored = VectorAssembler(inputCols=["probability"], outputCol="p").transform(scored)
-    platt = LogisticRegression(labelCol=label, featuresCol="p", predictionCol="pred", probabilityCol="pc", rawPredictionCol="raw", regParam=1e-3).fit(scored)
-    return platt.transform(scored).select(id_, F.col(label).cast("int").alias(label), "fold", "probability", vector_to_array("pc")[1].alias("calibrated"))
+    return platt.fit(scored).transform(scored).select(id_, F.col(label).cast("int").alias(label), "fold", "probability", vector_to_array("pc")[1].alias("calibrated"))
 
 
 def leaf_probabilities(spark: SparkSession, model: RandomForestClassificationModel) -> np.ndarray:

@@ -168,12 +168,14 @@ def _features(spark, d):
     names = [f"{p}_{s}" for p in formulas.PROPERTIES for s in ("weighted_mean", "std", "min", "max")]
     measures = ("atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom")
     cat = table(spark, d, "structure_catalog").groupBy(reference_value("candidate_id").alias("key")).agg(F.min("reduced_formula").alias("formula"), *[F.max(c).cast("double").alias(c) for c in measures]).where("key IS NOT NULL")
+    ws = Workspace(spark, "features")
+    cat = ws.stage(cat)
     kinds, numbers = formulas.formula_parts(F.col("formula"))
-    cat = Workspace(spark, "features").stage(cat.withColumns({"kinds": kinds, "numbers": numbers}))  # formulas are read once, not once a statistic
+    parts = ws.stage(cat.select("formula").where("formula IS NOT NULL").distinct().withColumns({"kinds": kinds, "numbers": numbers}))  # each formula is read once, not once a candidate or statistic
     stats = formulas.composition_statistics(F.col("kinds"), F.col("numbers"))
-    cat = cat.select("key", *measures, *[stats[n].alias(n) for n in names])
+    by_formula = parts.select("formula", *[stats[n].alias(n) for n in names])
     rows = _oof(spark, d).select("oof_row_id", "candidate_id", "label", F.coalesce(formulas.chemical_system(F.col("chemical_system")), F.lit("none")).alias("grp"), F.col("actual_spacegroup").cast("double").alias("spacegroup"))
-    return rows.withColumn("key", reference_value("candidate_id")).join(cat, "key", "left").drop("key")
+    return rows.withColumn("key", reference_value("candidate_id")).join(cat, "key", "left").join(by_formula, "formula", "left").drop("key", "formula")
 
 
 FEATURES = ["atom_count", "element_count", "volume_per_atom", "density_g_cm3", "min_distance_angstrom", "spacegroup", *[f"{p}_{s}" for p in formulas.PROPERTIES for s in ("weighted_mean", "std", "min", "max")]]
